@@ -57,10 +57,10 @@ def exact_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, one for each class of equal texts, with all their columns."""
-    best = exact_dedup(docs, ident, text).where("kept").select(F.col(ident).alias("__kept_id")).distinct()
+    best = common.materialise(exact_dedup(docs, ident, text).where("kept").select(F.col(ident).alias("__kept_id")), "kept")
     same = docs.join(best, F.col(ident).eqNullSafe(F.col("__kept_id")), "left_semi")
-    repeated = same.groupBy(ident).count().where("count > 1").limit(1)
-    return same.dropDuplicates([ident]) if repeated.take(1) else same
+    repeated = best.groupBy("__kept_id").count().where("count > 1").limit(1).take(1)
+    return same.dropDuplicates([ident]) if repeated else same
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
