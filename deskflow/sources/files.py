@@ -13,7 +13,8 @@ MANIFEST = "name string, version string, dependencies map<string,string>, devDep
 def parse_mail(raw: DataFrame, content: str = "content") -> DataFrame:
     """(file, mail, poison): each file's text as a message. Bad JSON, ``null`` and an empty file are poison.
 
-    Files are parsed from their whole text, so an empty file gives a row too.
+    Files are parsed from their whole text. Spark's own file sources never list a file of no bytes, so ``inbox``
+    has no row for one; texts from other sources that are empty are poison.
     """
     text = F.col(content).cast("string")
     mail = F.from_json(text, MAIL, {"mode": "PERMISSIVE"})
