@@ -101,9 +101,10 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
 def rarity(profiles: DataFrame) -> np.ndarray:
     """A level from 0 to 255 for each counter, about 8 times the logarithm to base 2; at most COUNTERS rows reach the driver."""
     cells = profiles.where("n = -1").select(F.explode("counts").alias("c")).select(F.shiftright("c", 40).cast("int").alias("cell"), F.col("c").bitwiseAND((1 << 40) - 1).alias("m"))
-    found = cells.groupBy("cell").agg(F.sum("m").alias("m")).toPandas()
+    scaled = F.least(F.lit(255), F.round(8 * F.log2(1 + F.sum("m"))))
+    found = cells.groupBy("cell").agg(scaled.cast("short").alias("level")).toArrow()  # six bytes a row, not Python rows
     level = np.zeros(COUNTERS, np.uint8)
-    level[found["cell"].to_numpy(np.int64)] = np.minimum(255, np.round(8 * np.log2(1 + found["m"].to_numpy(np.float64)))).astype(np.uint8)
+    level[found["cell"].to_numpy()] = found["level"].to_numpy().astype(np.uint8)
     return level
 
 
