@@ -23,9 +23,10 @@ from deskflow.llm import common
 from deskflow.llm.suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 400, 32
-HOT = 400  # different regions of a group beyond which it is split by a pivot
+HOT = 1000  # different regions of a group beyond which it is split by a pivot
 SHARD_BYTES = 500_000  # bytes whose suffixes are sorted at a time, by whole groups
 STEP = 6_000_000
+CORES = 8  # a region's strings fall into so many runs by where they start; those of a run share their middle bytes
 U = np.uint64
 _BYTES = common.mix(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
@@ -177,28 +178,59 @@ def shard_spans(groups: list[tuple], length: int) -> list[tuple]:
     return [(groups[i][3], int(low[i] + base[i]), int(high[i] + base[i]) + length) for i in np.flatnonzero((high >= 0) & ~several)]
 
 
+def sharing(group: list[tuple], length: int) -> list[tuple]:
+    """The regions of a group that may share a string of ``length`` bytes, cut to the part where they may.
+
+    Strings are put into runs by how many bytes they have before the anchor. All of a run contain its core, so two
+    regions share a string of the run only if they share the core. Nothing that matches is lost.
+    """
+    width = -(-(_reach(length) + 1) // CORES)
+    cores = []
+    for _, left, _, _, _, content in group:
+        own = []
+        for k in range(CORES):
+            a, b = left - k * width, left - (k + 1) * width + 1 + length
+            own.append((k, content[a:b]) if a >= 0 and b <= len(content) else None)
+        cores.append(own)
+    seen: dict = {}
+    for own in cores:
+        for c in own:
+            if c:
+                seen[c] = seen.get(c, 0) + 1
+    kept = []
+    for (h1, left, n, ident, at, content), own in zip(group, cores, strict=True):
+        runs = [c[0] for c in own if c and seen[c] > 1]
+        if runs:
+            low = max(0, left - (max(runs) + 1) * width + 1)
+            kept.append((h1, left - low, n, ident, at, content[low : left - min(runs) * width + length]))
+    return kept if any(r[2] == 1 for r in kept) else []
+
+
 def _shards(regions: DataFrame, length: int) -> DataFrame:
     """Spans of all regions, each group whole in one shard; a task sorts about SHARD_BYTES at a time."""
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, group, last, size = [], [], None, 0
 
         def flush():
-            spans = shard_spans(held, length)
+            spans = shard_spans(held, length) if held else []
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], names=["doc_id", "low", "high"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("g", "h1", "left", "n", "doc_id", "at", "content")]
             for g, *rest in zip(*columns, strict=True):
-                if g != last and size >= SHARD_BYTES:
-                    yield flush()
-                    size = 0
+                if g != last:
+                    more, group = sharing(group, length), []
+                    held += more
+                    size += sum(len(m[-1]) for m in more)
+                    if size >= SHARD_BYTES:
+                        yield flush()
+                        size = 0
                 last = g
-                held.append(tuple(rest))
-                size += len(rest[-1])
-        if held:
-            yield flush()
+                group.append(tuple(rest))
+        held += sharing(group, length)
+        yield flush()
 
     columns = ["g", "h1", "left", "n", "doc_id", "at", "content"]
     return regions.select(columns).repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc_id long, low long, high long")
@@ -219,7 +251,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         (F.col("spot") % ten).cast("long").alias("at"), "f", "h1", "h2", "left", "n",
     )
     rest = common.materialise(_cut(docs, wanted, length), "cut")
-    spans = [whole]
+    spans = [common.materialise(whole, "whole")]
+    common.discard(table)
+    common.discard(regions)
     while True:
         sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("h1").alias("least"))
         sizes = common.materialise(sizes.where("kinds > 1"), "sizes")
