@@ -61,6 +61,11 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return place, np.concatenate(hashes)[first]
 
 
+def _tasks(frame: DataFrame) -> int:
+    """Tasks for steps whose work is large for their bytes, which adaptive execution would put into one."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _reach(length: int) -> int:
     return length - GRAM
 
@@ -143,7 +148,7 @@ def _against_pivot(rows: DataFrame, length: int) -> DataFrame:
                     out.append((int(key), *base[1:], own, None, None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return rows.mapInArrow(run, "g long, h1 long, left int, n long, doc_id long, at long, content binary, low long, high long, p_doc long, p_low long, p_high long")
+    return rows.repartition(_tasks(rows)).mapInArrow(run, "g long, h1 long, left int, n long, doc_id long, at long, content binary, low long, high long, p_doc long, p_low long, p_high long")
 
 
 def shard_spans(groups: list[tuple], length: int) -> list[tuple]:
@@ -233,7 +238,7 @@ def _shards(regions: DataFrame, length: int) -> DataFrame:
         yield flush()
 
     columns = ["g", "h1", "left", "n", "doc_id", "at", "content"]
-    return regions.select(columns).repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc_id long, low long, high long")
+    return regions.select(columns).repartition(_tasks(regions), "g").sortWithinPartitions("g").mapInArrow(run, "doc_id long, low long, high long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
