@@ -117,16 +117,16 @@ def _sais(s: np.ndarray, alphabet: int) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """The places of all suffixes of some bytes, in ascending order."""
+    """The places of all suffixes of some bytes or 16-bit symbols, in ascending order."""
     if not len(data):
         return np.zeros(0, np.int64)
-    return _sais(np.r_[data.astype(np.int64) + 1, 0], 257)[1:]
+    return _sais(np.r_[data.astype(np.int64) + 1, 0], int(data.max()) + 2)[1:]
 
 
 def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each place the length of the prefix shared with the suffix that sorts just before.
 
-    Only irreducible places are compared, eight bytes at a time: where the bytes before the two suffixes are equal,
+    Only irreducible places are compared, four symbols at a time: where the symbols before the two suffixes are equal,
     the value is the one of the place before less one.
     """
     n = len(data)
@@ -137,10 +137,10 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     place = np.arange(n)
     reducible = (place > 0) & (before > 0)
     reducible[reducible] = data[place[reducible] - 1] == data[before[reducible] - 1]
-    padded = np.r_[data, np.zeros(16, np.uint8)]
-    eight = np.zeros(n + 8, np.uint64)
-    for k in range(8):
-        eight |= padded[k : k + n + 8].astype(np.uint64) << np.uint64(8 * k)
+    padded = np.r_[data, np.zeros(8, data.dtype)]
+    four = np.zeros(n + 4, np.uint64)
+    for k in range(4):
+        four |= padded[k : k + n + 4].astype(np.uint64) << np.uint64(16 * k)
     first = np.flatnonzero(~reducible)
     value = np.zeros(n, np.int64)
     active = first[before[first] >= 0]
@@ -150,15 +150,15 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     while len(live):
         x, y = a[live] + shared[live], b[live] + shared[live]
         inside = np.maximum(x, y) < n
-        equal = inside & (eight[np.minimum(x, n)] == eight[np.minimum(y, n)])
+        equal = inside & (four[np.minimum(x, n)] == four[np.minimum(y, n)])
         ending = live[~equal]
-        for _ in range(8):
+        for _ in range(4):
             x, y = a[ending] + shared[ending], b[ending] + shared[ending]
             ok = (np.maximum(x, y) < n) & (padded[np.minimum(x, n)] == padded[np.minimum(y, n)])
             ending = ending[ok]
             shared[ending] += 1
         live = live[equal]
-        shared[live] += 8
+        shared[live] += 4
     shared = np.minimum(shared, n - np.maximum(a, b))
     value[active] = shared
     last = np.maximum.accumulate(np.where(~reducible, place, 0))

@@ -4,11 +4,15 @@
    only those bytes, so equal 400-byte strings have equal anchors at the same place, and a repeated one always lies in
    the regions (up to 368 bytes either side) of anchors with equal hashes. One anchor in about 185 bytes is written.
 2. Regions that occur more than once whole are repeated whole; a count of their 128-bit hashes finds them.
-3. Regions that share an anchor's hash but differ are cut from their texts, dealt to shards by that hash, and each
-   shard sorts its suffixes by induced sorting. Runs whose permuted common prefixes reach 400 are equal strings.
-4. A group with very many different regions is split first, without losing a pair: each is compared with one pivot;
-   any other region that shares a string with it must agree with it one byte beyond the point where it leaves the
-   pivot, to the left or to the right, so that longer context is a new, smaller group.
+3. Regions that share an anchor's hash but differ are cut from their texts and dealt to shards by that hash. There they
+   fall into pieces by how many bytes a string has before the anchor; all strings of a piece contain its core, its
+   middle bytes, so only pieces with equal cores share a string. Equal pieces are repeated whole and sorted once.
+   In the sort a core is two symbols that stand for it, which keeps strings equal exactly where they were. Each shard
+   sorts its suffixes by induced sorting; runs whose permuted common prefixes span a string are equal strings.
+4. A group with very many different regions is split first, without losing a pair: into a group for each core, and a
+   group that is still large by pivots. Each piece is compared with one pivot; any other piece that shares a string
+   with it must agree with it one byte beyond the point where it leaves the pivot, to the left or to the right, so
+   that longer context is a new, smaller group.
 5. Spans are joined for each document and removed.
 """
 
@@ -23,10 +27,10 @@ from deskflow.llm import common
 from deskflow.llm.suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 400, 32
-HOT = 1000  # different regions of a group beyond which it is split by a pivot
-SHARD_BYTES = 500_000  # bytes whose suffixes are sorted at a time, by whole groups
+HOT = 1000  # different regions of a group beyond which it is split
+SHARD_SYMBOLS = 500_000  # symbols whose suffixes are sorted at a time, by whole groups
 STEP = 6_000_000
-CORES = 8  # a region's strings fall into so many runs by where they start; those of a run share their middle bytes
+CORES = 12  # a region's strings fall into so many pieces by where they start; those of a piece share their middle bytes
 U = np.uint64
 _BYTES = common.mix(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
@@ -151,96 +155,157 @@ def _against_pivot(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition(_tasks(rows)).mapInArrow(run, "g long, h1 long, left int, n long, doc_id long, at long, content binary, low long, high long, p_doc long, p_low long, p_high long")
 
 
-def shard_spans(groups: list[tuple], length: int) -> list[tuple]:
-    """Spans (doc_id, low, high) of the regions in a shard that some other place has too.
+def _width(length: int) -> int:
+    """How many places strings of one piece start at."""
+    return -(-(_reach(length) + 1) // CORES)
 
-    groups: (h1, left, n, doc_id, at, content). A region with n > 1 stands for several places and matches any.
+
+def pieces(left: int, content: bytes, length: int) -> list[tuple[int, int, bytes, int]]:
+    """(k, low, bytes, bytes before the core) of a region's pieces; ``low`` counts from the region's first byte.
+
+    Piece k holds the strings with k * width to (k + 1) * width - 1 bytes before the anchor.
     """
-    data = np.frombuffer(b"".join([g[5] for g in groups]), np.uint8)
-    size = np.array([len(g[5]) for g in groups])
+    width, out = _width(length), []
+    for k in range(CORES):
+        a, b = left - k * width, left - (k + 1) * width + 1 + length
+        if a >= 0 and b <= len(content):
+            low = max(0, a - width + 1)
+            out.append((k, low, content[low : a + length], a - low))
+    return out
+
+
+def core(piece: bytes, before: int, length: int) -> bytes:
+    return piece[before : before + length - _width(length) + 1]
+
+
+def group_pieces(group: list[tuple], length: int) -> tuple[list[tuple[int, int, int]], list[list[tuple]]]:
+    """Spans (doc_id, low, high) of a group's equal pieces, and its other pieces in classes with equal cores.
+
+    group: (h1, left, n, doc_id, at, content). Of a class: (n, doc_id, low, bytes, bytes before the core), where n > 1
+    stands for several places, whose spans are known. A class of one different piece has nothing left to find.
+    """
+    classes: dict = {}
+    for _, left, n, ident, at, content in group:
+        for k, low, piece, before in pieces(left, content, length):
+            equal = classes.setdefault((k, core(piece, before, length)), {}).setdefault((before, piece), [])
+            equal.append((n, ident, at - left + low))
+    spans, rest = [], []
+    for found in classes.values():
+        for (_, piece), equal in found.items():
+            if len(equal) > 1:
+                spans += [(ident, low, low + len(piece)) for n, ident, low in equal if n == 1]
+        if len(found) > 1:
+            merged = [(sum(e[0] for e in equal), equal[0][1], equal[0][2], piece, before) for (before, piece), equal in found.items()]
+            if any(m[0] == 1 for m in merged):
+                rest.append(merged)
+    return spans, rest
+
+
+def shard_spans(classes: list[list[tuple]], length: int) -> list[tuple[int, int, int]]:
+    """Spans (doc_id, low, high) of the pieces in a shard that another piece of their class has too; see group_pieces.
+
+    A core becomes two symbols above all bytes, so a string of ``length`` bytes becomes one of ``short`` symbols. As
+    strings of a class have the core at different places unless they start equally far from the anchor, equal strings
+    are always those of different pieces.
+    """
+    width = _width(length)
+    short = width + 1
+    rows = [p for c in classes for p in c]
+    if not rows:
+        return []
+    code = np.repeat(np.arange(len(classes)), [len(c) for c in classes])
+    before = np.array([p[4] for p in rows], np.int64)
+    margins = [p[3][: p[4]] + b"\0\0" + p[3][p[4] + length - width + 1 :] for p in rows]
+    size = np.array([len(m) for m in margins])
+    data = np.frombuffer(b"".join(margins), np.uint8).astype(np.uint16)
     end = np.cumsum(size)
+    data[end - size + before] = 256 + (code >> 8)
+    data[end - size + before + 1] = 256 + (code & 255)
     sa = suffix_array(data)
     lcp = permuted_lcp(data, sa)[sa]
-    region = np.repeat(np.arange(len(groups)), size)
-    place = np.arange(len(data))
-    fits = place + length <= end[region]
-    base = np.array([g[4] - g[1] for g in groups], np.int64) - (end - size)  # from a place here to one in the document
-    several = np.array([g[2] > 1 for g in groups])
-    ident = np.array([g[3] for g in groups], np.int64).view(U)
-    ident = np.where(several, common.mix(np.arange(len(groups), dtype=U) + U(1 << 40)), common.mix(ident))
-    where = common.mix(ident[region] + (place + base[region]).view(U) * U(0x9E3779B97F4A7C15))
-    kind = np.cumsum(lcp < length)
+    region = np.repeat(np.arange(len(rows)), size)
+    fits = np.arange(len(data)) + short <= end[region]
+    several = np.array([p[0] > 1 for p in rows])
+    kind = np.cumsum(lcp < short)
     pick = fits[sa]
     spot, kind = sa[pick], kind[pick]
     if not len(spot):
         return []
     begin = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
-    least, most = np.minimum.reduceat(where[spot], begin), np.maximum.reduceat(where[spot], begin)
-    twice = spot[np.repeat(least != most, np.diff(np.r_[begin, len(spot)]))]
-    low, high = np.full(len(groups), np.iinfo(np.int64).max), np.full(len(groups), -1)
+    count = np.diff(np.r_[begin, len(spot)])
+    twice = spot[np.repeat(count > 1, count)]
+    low, high = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), -1)
     np.minimum.at(low, region[twice], twice)
     np.maximum.at(high, region[twice], twice)
-    return [(groups[i][3], int(low[i] + base[i]), int(high[i] + base[i]) + length) for i in np.flatnonzero((high >= 0) & ~several)]
-
-
-def sharing(group: list[tuple], length: int) -> list[tuple]:
-    """The regions of a group that may share a string of ``length`` bytes, cut to the part where they may.
-
-    Strings are put into runs by how many bytes they have before the anchor. All of a run contain its core, so two
-    regions share a string of the run only if they share the core. Nothing that matches is lost.
-    """
-    width = -(-(_reach(length) + 1) // CORES)
-    cores = []
-    for _, left, _, _, _, content in group:
-        own = []
-        for k in range(CORES):
-            a, b = left - k * width, left - (k + 1) * width + 1 + length
-            own.append((k, content[a:b]) if a >= 0 and b <= len(content) else None)
-        cores.append(own)
-    seen: dict = {}
-    for own in cores:
-        for c in own:
-            if c:
-                seen[c] = seen.get(c, 0) + 1
-    kept = []
-    for (h1, left, n, ident, at, content), own in zip(group, cores, strict=True):
-        runs = [c[0] for c in own if c and seen[c] > 1]
-        if runs:
-            low = max(0, left - (max(runs) + 1) * width + 1)
-            kept.append((h1, left - low, n, ident, at, content[low : left - min(runs) * width + length]))
-    return kept if any(r[2] == 1 for r in kept) else []
+    base = np.array([p[2] for p in rows], np.int64) - (end - size)
+    return [(rows[i][1], int(low[i] + base[i]), int(high[i] + base[i]) + length) for i in np.flatnonzero((high >= 0) & ~several)]
 
 
 def _shards(regions: DataFrame, length: int) -> DataFrame:
-    """Spans of all regions, each group whole in one shard; a task sorts about SHARD_BYTES at a time."""
+    """Spans of all regions, each group whole in one shard; a task sorts about SHARD_SYMBOLS at a time."""
 
     def run(batches):
-        held, group, last, size = [], [], None, 0
+        held, found, group, last, size = [], [], [], None, 0
+
+        def add() -> int:
+            spans, classes = group_pieces(group, length)
+            found.extend(spans)
+            held.extend(classes)
+            group.clear()
+            return sum(2 * _width(length) * len(c) for c in classes)
 
         def flush():
-            spans = shard_spans(held, length) if held else []
+            spans = found + shard_spans(held, length)
             held.clear()
+            found.clear()
             return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], names=["doc_id", "low", "high"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("g", "h1", "left", "n", "doc_id", "at", "content")]
             for g, *rest in zip(*columns, strict=True):
-                if g != last:
-                    more, group = sharing(group, length), []
-                    held += more
-                    size += sum(len(m[-1]) for m in more)
-                    if size >= SHARD_BYTES:
+                if g != last and group:
+                    size += add()
+                    if size >= SHARD_SYMBOLS or len(found) >= SHARD_SYMBOLS:
                         yield flush()
                         size = 0
                 last = g
                 group.append(tuple(rest))
-        held += sharing(group, length)
+        add()
         yield flush()
 
     columns = ["g", "h1", "left", "n", "doc_id", "at", "content"]
     return regions.select(columns).repartition(_tasks(regions), "g").sortWithinPartitions("g").mapInArrow(run, "doc_id long, low long, high long")
 
 
+def _split_by_core(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces of regions, each different one once, in a group for each core; and spans of equal pieces."""
+    import xxhash
+
+    def run(batches):
+        names = ["g", "h1", "h2", "left", "n", "doc_id", "at", "content"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                for k, low, piece, before in pieces(r["left"], r["content"], length):
+                    g = np.frombuffer(xxhash.xxh3_64_digest(b"%d:%d:" % (r["g"], k) + core(piece, before, length)), "<i8")[0]
+                    h = np.frombuffer(xxhash.xxh3_128_digest(piece), "<i8")
+                    out.append((int(g), int(h[0]), int(h[1]), r["left"] - low, r["n"], r["doc_id"], r["at"], piece))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
+
+    cut = rows.repartition(_tasks(rows)).mapInArrow(run, "g long, h1 long, h2 long, left int, n long, doc_id long, at long, content binary")
+    cut = common.materialise(cut, "pieces")
+    key = ["g", "h1", "h2", "left"]
+    kinds = cut.groupBy(key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "at")).alias("spot"))
+    kinds = common.materialise(kinds, "kinds")
+    equal = cut.where("n = 1").join(kinds.where("rows > 1").select(key), key)
+    spans = equal.select("doc_id", (F.col("at") - F.col("left")).alias("low"), (F.col("at") - F.col("left") + F.length("content")).alias("high"))
+    groups = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("different")).where("different > 1").select("g")
+    one = kinds.join(groups, "g").select(*key, "n", "spot.doc_id", "spot.at")
+    rest = cut.drop("n").join(one, [*key, "doc_id", "at"]).select("g", "h1", "left", "n", "doc_id", "at", "content")
+    return rest.dropDuplicates(["g", "doc_id", "at", "h1", "left"]), spans
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, low, high): byte spans, possibly overlapping, that cover what repeats; docs are (doc_id, body)."""
     table = common.materialise(anchor_table(docs, length), "anchors")
@@ -259,6 +324,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = [common.materialise(whole, "whole")]
     common.discard(table)
     common.discard(regions)
+    split = False
     while True:
         sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("h1").alias("least"))
         sizes = common.materialise(sizes.where("kinds > 1"), "sizes")
@@ -266,6 +332,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         hot = sizes.where(f"kinds > {HOT}").select("g", "least")
         if not hot.limit(1).take(1):
             break
+        if not split:
+            split = True
+            rest, equal = _split_by_core(rest.join(hot.select("g"), "g"), length)
+            rest = common.materialise(rest, "rest")
+            spans.append(common.materialise(equal, "equal"))
+            continue
         heads = rest.join(hot, "g").where(F.col("h1") == F.col("least")).groupBy("g").agg(F.min(F.struct("left", "doc_id", "at", "h1", "content")).alias("p"))
         heads = heads.select("g", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("left", "doc_id", "at", "h1", "content")]).withColumnRenamed("p_doc_id", "p_doc")
         compared = common.materialise(_against_pivot(rest.join(heads, "g"), length), "compared")
