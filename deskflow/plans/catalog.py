@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskflow.functions import config_text, schedule
@@ -253,6 +253,12 @@ def health_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.verdict(health.summary(_checks(spark, sf_dir).withColumn("agent", F.col("doc_id") % 97), "agent"))
 
 
+def _part_checks(parts: DataFrame, agent: Column) -> DataFrame:
+    """Parts as checks: every fourth fails and names a fix, every second has a detail."""
+    key = F.col("p_partkey")
+    return parts.select(agent.alias("agent"), key.alias("pos"), F.col("p_brand").alias("name"), F.when(key % 4 == 0, "fail").otherwise("ok").alias("status"), F.when(key % 2 == 0, F.col("p_type")).otherwise("").alias("detail"), F.when(key % 4 == 0, F.concat(F.lit("see "), F.col("p_name"))).alias("fix"))
+
+
 @query("""
 WITH c AS (SELECT p_size % 7 AS agent, p_partkey AS pos, p_brand AS name, CASE WHEN p_partkey % 4 = 0 THEN 'fail' ELSE 'ok' END AS status, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS detail, CASE WHEN p_partkey % 4 = 0 THEN 'see ' || p_name END AS fix FROM part WHERE p_partkey <= 60),
 w AS (SELECT agent, max(length(name)) AS w FROM c GROUP BY agent)
@@ -260,10 +266,19 @@ SELECT agent, string_agg('  ' || rpad(name, w::INTEGER, ' ') || '  ' || upper(st
 FROM c JOIN w USING (agent) GROUP BY agent
 """)
 def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as checks, rendered."""
-    p, key = table(spark, sf_dir, "part").where("p_partkey <= 60"), F.col("p_partkey")
-    rows = p.select((F.col("p_size") % 7).alias("agent"), key.alias("pos"), F.col("p_brand").alias("name"), F.when(key % 4 == 0, "fail").otherwise("ok").alias("status"), F.when(key % 2 == 0, F.col("p_type")).otherwise("").alias("detail"), F.when(key % 4 == 0, F.concat(F.lit("see "), F.col("p_name"))).alias("fix"))
-    return health.report(rows)
+    """The parts up to number 60 as checks, rendered; ``health_report_all`` renders every part."""
+    return health.report(_part_checks(table(spark, sf_dir, "part").where("p_partkey <= 60"), F.col("p_size") % 7))
+
+
+@query("""
+WITH c AS (SELECT p_partkey // 100 AS agent, p_partkey AS pos, p_brand AS name, CASE WHEN p_partkey % 4 = 0 THEN 'fail' ELSE 'ok' END AS status, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS detail, CASE WHEN p_partkey % 4 = 0 THEN 'see ' || p_name END AS fix FROM part),
+w AS (SELECT agent, max(length(name)) AS w FROM c GROUP BY agent)
+SELECT agent, string_agg('  ' || rpad(name, w::INTEGER, ' ') || '  ' || upper(status) || CASE WHEN detail <> '' THEN ' — ' || detail ELSE '' END || CASE WHEN coalesce(fix, '') <> '' THEN chr(10) || '  ' || repeat(' ', w) || '        fix: ' || fix ELSE '' END, chr(10) ORDER BY pos) AS report
+FROM c JOIN w USING (agent) GROUP BY agent
+""")
+def health_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a check, rendered; a hundred consecutive numbers are an agent, so reports don't grow with the table."""
+    return health.report(_part_checks(table(spark, sf_dir, "part"), F.floor(F.col("p_partkey") / 100)))
 
 
 @query("SELECT event_id, lpad(to_base(event_id % 512, 8), 3, '0') AS mode, ((event_id % 512) & 73) = 0 AS not_executable, (event_id % 512) <> 384 AS not_private FROM events")

@@ -37,3 +37,10 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["conv_id", "reply"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_report_of_every_part(spark):
+    got = entry.queries()["health_report_all"](spark, SF).collect()
+    checks = [line for r in got for line in r.report.split("\n") if not line.strip().startswith("fix: ")]
+    assert len(checks) == entry.catalog.table(spark, SF, "part").count() > 60
