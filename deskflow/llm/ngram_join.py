@@ -7,7 +7,8 @@ prefix n-gram under the second and third order, and only then are verified on th
 
 Links are found without pairing up groups of copies: equal sets are one representative; a first round verifies each
 document against one pivot of each n-gram it is indexed by (the one where the n-gram comes first); a second round
-joins only documents of different components, and finds every link that can still change a component.
+joins only documents of different components, and finds every link that can still change a component. So ``ngram_join``
+knows components, not links; ``ngram_links`` verifies every candidate pair and counts each row's links.
 
 Frequencies come from a table of 2**20 counters over all documents. A bound on its size costs nothing in exactness:
 any order is valid, counters only make it a good one.
@@ -15,15 +16,19 @@ any order is valid, counters only make it a good one.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskflow.llm import common
 from deskflow.llm.components import components
 
 COUNTERS = 1 << 20
+#: Rows of one n-gram that meet in a task of ``ngram_links``; an n-gram with more is cut into blocks, paired one by one.
+BLOCK = 256
 U = np.uint64
 
 
@@ -138,7 +143,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, i
 
     def run(batches):
         for batch in batches:
-            for part in common.slices(batch, "left_body", 1_000_000):
+            for part in common.slices(batch, "left_body", 500_000):
                 rows = part.num_rows
                 both = pa.concat_arrays([part.column("left_body"), part.column("right_body")])
                 value, row = shingle_sets(both, words)
@@ -154,15 +159,32 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, i
     return joined.select("a", "b", "left_body", "right_body").mapInArrow(run, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, n_shingles, component_id) of every row; ids are integers.
+@dataclass
+class Index:
+    """Where both joins start: the prefixes of one document for each different set, and their texts."""
 
-    Two documents link when their n-gram sets have Jaccard similarity share[0] / share[1] or more; component_id is
-    the least id that links reach. A null or empty text has no n-grams and links with nothing, nor does a row without
-    an id (its component_id is null). Rows that repeat an id and a text are one document and all come back. Other
-    columns, whatever their names, are not read.
-    """
-    num, den = share
+    words: int
+    share: tuple[int, int]
+    sets: DataFrame  # (doc_id, n, hi, lo) of every row
+    equal: DataFrame  # (hi, lo, n, rep) of every set with n-grams
+    lists: DataFrame  # (doc_id, n, one, two, three) of the representatives
+    shared: DataFrame  # (token, doc_id, n, i, pivot, j) of n-grams that some other document has too
+    texts: DataFrame  # (doc_id, body)
+
+    def enough(self, a: str, i: str, b: str, j: str) -> Column:
+        """Whether sets of a and b n-grams can be similar enough if the first they share are at i and j."""
+        num, den = self.share
+        return (num + den) * F.least(F.col(a) - F.col(i), F.col(b) - F.col(j)) >= num * (F.col(a) + F.col(b))
+
+    def links_of(self, pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a, b)."""
+        others = self.lists.select(F.col("doc_id").alias("a"), F.col("two").alias("two_a"), F.col("three").alias("three_a"))
+        right = others.select(F.col("a").alias("b"), F.col("two_a").alias("two_b"), F.col("three_a").alias("three_b"))
+        kept = pairs.join(others, "a").join(right, "b").where(F.arrays_overlap("two_a", "two_b") & F.arrays_overlap("three_a", "three_b")).select("a", "b")
+        return verified(kept, self.texts, self.words, self.share)
+
+
+def indexed(docs: DataFrame, words: int, share: tuple[int, int], ident: str, text: str) -> Index:
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("body"))
     profiles = common.materialise(profile(rows, words), "profiles")
     level = rarity(profiles)
@@ -181,13 +203,19 @@ def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 10
     ids = shared.select("doc_id").distinct()
     texts = common.materialise(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    enough = lambda a, i, b, j: (num + den) * F.least(F.col(a) - F.col(i), F.col(b) - F.col(j)) >= num * (F.col(a) + F.col(b))
-    others = lists.select(F.col("doc_id").alias("a"), F.col("two").alias("two_a"), F.col("three").alias("three_a"))
+    return Index(words, share, sets, equal, lists, shared, texts)
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        right = others.select(F.col("a").alias("b"), F.col("two_a").alias("two_b"), F.col("three_a").alias("three_b"))
-        kept = pairs.join(others, "a").join(right, "b").where(F.arrays_overlap("two_a", "two_b") & F.arrays_overlap("three_a", "three_b")).select("a", "b")
-        return verified(kept, texts, words, share)
+
+def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, n_shingles, component_id) of every row; ids are integers.
+
+    Two documents link when their n-gram sets have Jaccard similarity share[0] / share[1] or more; component_id is
+    the least id that links reach. A null or empty text has no n-grams and links with nothing, nor does a row without
+    an id (its component_id is null). Rows that repeat an id and a text are one document and all come back. Other
+    columns, whatever their names, are not read.
+    """
+    index = indexed(docs, words, share, ident, text)
+    sets, equal, lists, shared, enough, links_of = index.sets, index.equal, index.lists, index.shared, index.enough, index.links_of
 
     n_of = lists.select(F.col("doc_id").alias("pivot"), F.col("n").alias("b_n"))
     star = shared.where("doc_id <> pivot").join(n_of, "pivot").where(enough("n", "i", "b_n", "j")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -217,10 +245,49 @@ def keep_one(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100)
     return docs.join(heads, F.col(ident) == F.col("__head"), "left_semi")
 
 
+def ngram_links(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, n_shingles, component_id, n_links) of every row: ``ngram_join`` and with how many other documents each links.
+
+    Every pair of different sets that shares an indexed n-gram goes through the positional bound, the other two orders
+    and the verification, whatever component it is in. Documents of a row's own set and of each linked set count by
+    the sizes of these groups, without being paired up. Without an id n_links is null. Pairs grow with the square of
+    a group of different near copies; nothing is capped.
+    """
+    index = indexed(docs, words, share, ident, text)
+    sets, shared = index.sets, index.shared
+    many = shared.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    placed = shared.join(many, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = placed.select("token", F.col("own").alias("x"), F.col("every").alias("y"), F.col("doc_id").alias("a"), F.col("i").alias("a_i"), F.col("n").alias("a_n"))
+    right = placed.select("token", F.col("every").alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("i").alias("b_i"), F.col("n").alias("b_n"))
+    pairs = left.join(right, ["token", "x", "y"]).where((F.col("a") < F.col("b")) & index.enough("a_n", "a_i", "b_n", "b_i")).select("a", "b").distinct()
+    with common.small_batches(docs.sparkSession):
+        links = common.materialise(index.links_of(pairs), "links")
+    final = components(links)
+
+    size = sets.where("n > 0 and doc_id is not null").select("doc_id", "hi", "lo", "n").distinct().groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("rep")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("rep")))
+    linked = both.join(size.select("rep", "size"), "rep").groupBy(F.col("node").alias("rep")).agg(F.sum("size").alias("others"))
+    known = size.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "rep", "left")
+    known = known.select("hi", "lo", F.col("n").alias("n_in"), F.coalesce("label", "rep").alias("component"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = sets.join(known, (sets["hi"] == known["hi"]) & (sets["lo"] == known["lo"]) & (sets["n"] == known["n_in"]), "left")
+    there = sets["doc_id"].isNotNull()
+    return out.select(
+        sets["doc_id"].alias(ident),
+        sets["n"].alias("n_shingles"),
+        F.when(there, F.when(sets["n"] > 0, F.col("component")).otherwise(sets["doc_id"])).alias("component_id"),
+        F.when(there, F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(common.documents(spark, sf_dir))
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_links(common.documents(spark, sf_dir))
+
+
 SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -241,3 +308,6 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.reached)::BIGINT AS component_id
 FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
+
+#: The same links, counted for each document as well.
+LINKS_SQL = SQL.replace("AS component_id\n", "AS component_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id)::BIGINT AS n_links\n")

@@ -6,6 +6,7 @@ from deskflow.llm import bpe, exact_dedup, language_id, media, mixing, ngram_joi
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op1_ngram_links": ngram_join.op1_ngram_links,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
@@ -19,6 +20,7 @@ QUERIES = {
 
 SQL = {
     "op1_ngram_join": ngram_join.SQL,
+    "op1_ngram_links": ngram_join.LINKS_SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_mixing": mixing.SQL,
 }

@@ -133,6 +133,25 @@ def test_near_copies_of_near_copies(spark):
     assert sorted(tuple(r) for r in ngram_join.ngram_join(rows).collect()) == sorted(con.execute(ngram_join.SQL).fetchall())
 
 
+@pytest.mark.parametrize("words, share", [(3, (90, 100)), (5, (80, 100)), (2, (50, 100))])
+@pytest.mark.parametrize("block", [256, 2])
+def test_ngram_links(spark, docs, words, share, block, monkeypatch):
+    """Every link counts, also between documents that one pivot has put into the same component."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    base = [f"w{i}" for i in range(60)]
+    extra = [(3000 + i, " ".join([*base, f"v{i}"])) for i in range(12)] + [(4000, None), (None, " ".join(base))]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    sets = {r.doc_id: shingles(r.text, words) for r in rows.where("doc_id is not null").collect()}
+    count = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        if (both := len(sets[a] & sets[b])) and share[1] * both >= share[0] * len(sets[a] | sets[b]):
+            count[a] += 1
+            count[b] += 1
+    got, joined = ngram_join.ngram_links(rows, words, share).collect(), ngram_join.ngram_join(rows, words, share).collect()
+    assert sorted(map(str, (tuple(r)[:3] for r in got))) == sorted(map(str, (tuple(r) for r in joined)))
+    assert {r.doc_id: r.n_links for r in got} == {**count, None: None} and all(count[3000 + i] == 11 for i in range(12))
+
+
 def test_mixing(spark, docs):
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text", "source").dropDuplicates(["doc_id"]).toArrow())
