@@ -57,10 +57,11 @@ def exact_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, one for each class of equal texts, with all their columns."""
-    best = common.materialise(exact_dedup(docs, ident, text).where("kept").select(F.col(ident).alias("__kept_id")), "kept")
-    same = docs.join(best, F.col(ident).eqNullSafe(F.col("__kept_id")), "left_semi")
-    repeated = best.groupBy("__kept_id").count().where("count > 1").limit(1).take(1)
-    return same.dropDuplicates([ident]) if repeated else same
+    best = common.materialise(exact_dedup(docs, ident, text).where("kept").select(F.col(ident).alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")), "kept")
+    hashed = docs.withColumn("__sha", F.sha2(normal(F.col(text)), 256))  # ids may be null or repeat: they don't tell classes apart
+    same = hashed.join(best, F.col(ident).eqNullSafe(F.col("__kept_id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
+    repeated = best.groupBy("__kept_id", "__kept_sha").count().where("count > 1").limit(1).take(1)
+    return (same.dropDuplicates([ident, "__sha"]) if repeated else same).drop("__sha")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

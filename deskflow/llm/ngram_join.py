@@ -240,9 +240,9 @@ def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 10
 
 
 def keep_one(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), ident: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the least id."""
-    heads = ngram_join(docs, words, share, ident).where(f"`{ident}` = component_id").select(F.col(ident).alias("__head")).distinct()
-    return docs.join(heads, F.col(ident) == F.col("__head"), "left_semi")
+    """The rows of ``docs`` that stay: of each component the document with the least id, and all rows without an id."""
+    heads = ngram_join(docs, words, share, ident).where(f"`{ident}` <=> component_id").select(F.col(ident).alias("__head")).distinct()
+    return docs.join(heads, F.col(ident).eqNullSafe(F.col("__head")), "left_semi")
 
 
 def ngram_links(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -77,6 +77,17 @@ def test_null_ids(spark):
     assert mixing.mix_sources(rows).count() == 3 and suffix_dedup.remove_repeats(rows).count() == 3
 
 
+def test_keep_one_by_text(spark):
+    """Null and repeated ids with different texts: one row of each class stays, and no row goes for want of an id."""
+    schema = "doc_id long, text string"
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "ghi jkl"), (1, "m n o p q r"), (1, "s t u v w x"), (0, "stu vwx"), (0, "s t  u v w x y"), (2, "mnopqr")]
+    got = sorted(map(str, (squeeze(r.text) for r in exact_dedup.keep_one(spark.createDataFrame(rows, schema)).collect())))
+    assert got == sorted({squeeze(t) for _, t in rows})
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (3, "g h i j k l"), (4, "g h i j k l")]
+    got = sorted(map(str, (tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(rows, schema)).collect())))
+    assert got == sorted(map(str, rows[:3]))
+
+
 def squeeze(t):
     return re.sub(r"[\x20\x09-\x0D]", "", t or "")
 
