@@ -19,11 +19,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def recall(vectors: DataFrame, query: DataFrame, limit: int | None = None, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(ident, score): the best hits for one query vector (a table of one row), ties by id.
+    """(ident, score): the best hits for one query vector (a table of one row), ties by id; more rows are an error.
 
     The query is one row, so joining it to all vectors is a broadcast of one row; the top rows are kept per task.
     """
-    one = query.select(F.col(vector).alias("q")).limit(1)
+    two = query.select(F.col(vector).alias("q")).limit(2).agg(F.collect_list(F.struct("q")).alias("rows"))
+    found = F.when(F.size("rows") > 1, F.raise_error(F.lit("recall takes one query vector"))).otherwise(F.col("rows"))
+    one = two.select(F.inline(found))
     scored = vectors.join(F.broadcast(one)).select(ident, F.round(cosine(F.col(vector), F.col("q")), 6).alias("score"))
     return scored.orderBy(F.col("score").desc(), ident).limit(limit_of(limit, RECALL_DEFAULT, RECALL_MOST))
 

@@ -49,6 +49,14 @@ def test_bounds(spark):
     assert memory.render_hits(hit).first().rendered == "[0.910] 2026-05-29 pulse-1: moved"
 
 
+def test_recall_takes_one_query(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in memory.recall(v, v.where("vec_id = 3"), 2).collect()] == [3, 2]
+    assert memory.recall(v, v.where("vec_id > 9")).count() == 0
+    with pytest.raises(Exception, match="one query vector"):
+        memory.recall(v, v.where("vec_id > 1")).collect()
+
+
 def test_new_memory(spark):
     rows = spark.createDataFrame([("pulse", 1700000000000, "c", None, None)], "agentId string, ms long, content string, durability string, supersedes string")
     r = memory.new_memory(rows).first()
