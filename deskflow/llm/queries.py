@@ -23,4 +23,5 @@ SQL = {
     "op1_ngram_links": ngram_join.LINKS_SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_suffix_dedup": suffix_dedup.SQL,
 }

@@ -1,17 +1,20 @@
-"""Suffix arrays by induced sorting, and permuted longest common prefixes, in whole-array steps.
+"""Suffix arrays by induced sorting, and permuted longest common prefixes.
 
-Induction runs bucket by bucket. Inside a bucket it proceeds in waves: a wave is what the last one put into the same
-bucket, so a wave's predecessors can be placed with one stable sort. Leftmost-smaller (LMS) substrings are sorted by
-one induction and named; if names repeat, the string of names is sorted recursively while its alphabet is small and
-by doubling ranks when it is large (a bucket per name would leave one-element steps). A last induction from the
-sorted LMS suffixes gives the array.
+Suffixes are classified as smaller or larger than their successor. Leftmost-smaller (LMS) substrings are sorted by one
+induction and named; if names repeat, the string of names is sorted by recursion, at every size; a last induction from
+the sorted LMS suffixes gives the array. Every level is linear in its string, which is at most half as long as the one
+above.
+
+Induction runs bucket by bucket in whole-array steps where buckets are well filled: inside a bucket it proceeds in
+waves, a wave being what the last one put into the same bucket, so its predecessors are placed with one stable sort.
+Strings of names have about as many buckets as suffixes; there the same scans run suffix by suffix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SMALL = 1024  # names up to which the recursion induces
+FILLED = 32  # suffixes of a bucket, on average, from which whole-array steps are faster than a loop
 
 
 def _place(sa: np.ndarray, found: np.ndarray, chars: np.ndarray, edge: np.ndarray, sign: int) -> None:
@@ -57,26 +60,29 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray)
     return sa
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string over a large alphabet; only suffixes whose rank is still shared are sorted on."""
-    n = len(names)
-    sa = np.argsort(names, kind="stable")
-    rank = np.zeros(n + 1, np.int64)
-    new = np.r_[True, names[sa][1:] != names[sa][:-1]]
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
-    h, open_ = 1, np.flatnonzero(~new | ~np.r_[new[1:], True])
-    while len(open_):
-        at = sa[open_]
-        first, second = rank[at], rank[np.minimum(at + h, n)]
-        order = np.lexsort((second, first))
-        at, first, second = at[order], first[order], second[order]
-        sa[open_] = at
-        new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
-        rank[at] = open_[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] + 1
-        alone = new & np.r_[new[1:], True]
-        open_ = open_[~alone]
-        h *= 2
-    return sa
+def _induce_listed(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``_induce`` for strings whose buckets hold few suffixes: the same two scans, suffix by suffix."""
+    n = len(s)
+    text, kind, sa = s.tolist(), small.tolist(), [-1] * n
+    tails = ends.tolist()
+    for i in lms[np.argsort(s[lms], kind="stable")][::-1].tolist():  # seeds wait at the ends of their buckets
+        tails[text[i]] -= 1
+        sa[tails[text[i]]] = i
+    heads = [0, *ends[:-1].tolist()]
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not kind[j]:
+            c = text[j]
+            sa[heads[c]] = j
+            heads[c] += 1
+    tails = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and kind[j]:
+            c = tails[text[j]] = tails[text[j]] - 1
+            sa[c] = j
+    sa[0] = n - 1
+    return np.array(sa, np.int64)
 
 
 def _sais(s: np.ndarray, alphabet: int) -> np.ndarray:
@@ -90,8 +96,9 @@ def _sais(s: np.ndarray, alphabet: int) -> np.ndarray:
     small = np.r_[step[np.minimum(change, n - 2)] > 0, True]
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     ends = np.cumsum(np.bincount(s, minlength=alphabet))
+    induce = _induce if n >= FILLED * alphabet else _induce_listed
     if len(lms) > 1:
-        sa = _induce(s, small, lms, ends)
+        sa = induce(s, small, lms, ends)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = sa[is_lms[sa]]
@@ -111,9 +118,9 @@ def _sais(s: np.ndarray, alphabet: int) -> np.ndarray:
             named = np.zeros(n, np.int64)
             named[order] = name
             reduced = named[lms]
-            order = lms[_sais(reduced, int(name[-1]) + 1) if name[-1] < SMALL else _doubled(reduced)]
+            order = lms[_sais(reduced, int(name[-1]) + 1)]
         lms = order
-    return _induce(s, small, lms, ends)
+    return induce(s, small, lms, ends)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:

@@ -1,43 +1,44 @@
 """Removal of repeated passages of 400 bytes or more, exact over all documents, by suffix arrays of shards.
 
 1. Anchors. Of all 32-byte strings in a 400-byte string the one with the least hash is its anchor. That choice sees
-   only those bytes, so equal 400-byte strings have equal anchors at the same place, and a repeated one always lies in
-   the regions (up to 368 bytes either side) of anchors with equal hashes. One anchor in about 185 bytes is written.
-2. Regions that occur more than once whole are repeated whole; a count of their 128-bit hashes finds them.
-3. Regions that share an anchor's hash but differ are cut from their texts and dealt to shards by that hash. There they
-   fall into pieces by how many bytes a string has before the anchor; all strings of a piece contain its core, its
-   middle bytes, so only pieces with equal cores share a string. Equal pieces are repeated whole and sorted once.
-   In the sort a core is two symbols that stand for it, which keeps strings equal exactly where they were. Each shard
-   sorts its suffixes by induced sorting; runs whose permuted common prefixes span a string are equal strings.
-4. A group with very many different regions is split first, without losing a pair: into a group for each core, and a
-   group that is still large by pivots. Each piece is compared with one pivot; any other piece that shares a string
-   with it must agree with it one byte beyond the point where it leaves the pivot, to the left or to the right, so
-   that longer context is a new, smaller group.
-5. Spans are joined for each document and removed.
+   only those bytes, so equal 400-byte strings have equal anchors at the same place. The strings of one anchor start
+   next to each other; the bytes they cover are its region, and every string lies in exactly one region.
+2. Regions whose anchor's hash occurs once can't hold a repeated string and go no further. Of the others each
+   different one (by a 128-bit hash) is cut from a text once and goes to the shard of its anchor's hash.
+3. In a shard regions fall into pieces by how many bytes a string has before the anchor. All strings of a piece contain
+   its core, its middle bytes, so only pieces with equal cores share a string, and in the sort a core is two symbols.
+   Each different piece enters the sort once, or twice if it occurs more than once. The shard's suffixes are sorted by
+   induced sorting; strings whose permuted common prefixes span their length are repeated. Nothing else decides.
+4. A group too large for a shard is dealt to more of them by longer cores: pieces of 32, then 8, then 2 places, where
+   the bytes beside the core that a group can still differ in are so few that it fits. Equal pieces are combined
+   before they meet. So no group is compared pair by pair and none is left out.
+5. Every occurrence of a region gets the spans found in it; spans are joined for each document and removed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskflow.llm import common
 from deskflow.llm.suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 400, 32
-HOT = 1000  # different regions of a group beyond which it is split
+HOT = 1000  # different regions or pieces of a group beyond which it is dealt out by longer cores
+WIDTHS = (32, 8, 2)  # places that the strings of one piece start at; groups of the last are bounded by two bytes
 SHARD_SYMBOLS = 500_000  # symbols whose suffixes are sorted at a time, by whole groups
 STEP = 6_000_000
-CORES = 12  # a region's strings fall into so many pieces by where they start; those of a piece share their middle bytes
 U = np.uint64
 _BYTES = common.mix(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F))
+KIND = ["f", "h1", "h2", "left"]  # what tells one different region from another
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all strings of ``length`` bytes inside the documents, ascending."""
-    places, hashes, wide = [], [], length - gram + 1
+def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, first, last) of the anchors inside the documents, ascending; the strings that start from
+    ``first`` to ``last`` are the anchor's."""
+    places, hashes, firsts, lasts, wide = [], [], [], [], length - gram + 1
     owner_ends = off[1:]
     for at in range(0, max(len(raw) - length + 1, 0), STEP):
         part = raw[at : at + STEP + length - 1]
@@ -54,15 +55,18 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
         least = np.minimum(back[:starts], fore[wide - 1 : wide - 1 + starts])
         start = np.arange(at, at + starts)
         whole = start + length <= owner_ends[np.minimum(np.searchsorted(owner_ends, start, "right"), len(owner_ends) - 1)]
-        chosen = np.zeros(n, bool)
-        chosen[(least[whole] & U((1 << 23) - 1)).astype(np.int64)] = True
-        found = np.flatnonzero(chosen)
-        places.append(found + at)
-        hashes.append(value[found])
+        start, found = start[whole], (least[whole] & U((1 << 23) - 1)).astype(np.int64)
+        new = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])
+        places.append(found[new] + at)
+        hashes.append(value[found[new]])
+        firsts.append(start[new])
+        lasts.append(start[np.r_[new[1:], len(found)][: len(new)] - 1])
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, first, last = np.concatenate(places), np.concatenate(firsts), np.concatenate(lasts)
+    new = np.r_[True, place[1:] != place[:-1]][: len(place)]  # an anchor's strings may lie on both sides of a step's end
+    end = np.r_[new[1:], True][: len(place)]
+    return place[new], np.concatenate(hashes)[new], first[new], last[end]
 
 
 def _tasks(frame: DataFrame) -> int:
@@ -70,298 +74,288 @@ def _tasks(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _reach(length: int) -> int:
-    return length - GRAM
-
-
-def anchor_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, at, f, h1, h2, left): each anchor's place, hash, the 128-bit hash of its region and bytes before it."""
+def region_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, tag, at, f, h1, h2, left, size): each region's first byte, its anchor's hash, its own 128-bit hash, bytes
+    before the anchor and length."""
     import xxhash
 
     def run(batches):
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             for part in common.slices(batch, "body"):
-                texts = part.column("body")
-                raw, off = common.utf8(texts)
-                place, f = anchors(raw, off, length)
+                raw, off = common.utf8(part.column("body"))
+                place, f, low, last = anchors(raw, off, length)
                 row = np.searchsorted(off, place, "right") - 1
-                low = np.maximum(place - _reach(length), off[row])
-                high = np.minimum(place + length, off[row + 1])
+                high = last + length
                 view = memoryview(raw)
                 hashed = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]), "<i8").reshape(-1, 2)
-                ident = part.column("doc_id").take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ident, pa.array(place - off[row]), pa.array(f.view(np.int64)), pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy()), pa.array((place - low).astype(np.int32))], names=["doc_id", "at", "f", "h1", "h2", "left"])
+                ident, tag = (part.column(c).take(pa.array(row)) for c in ("doc_id", "tag"))
+                yield pa.RecordBatch.from_arrays([ident, tag, pa.array(low - off[row]), pa.array(f.view(np.int64)), pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy()), pa.array((place - low).astype(np.int32)), pa.array((high - low).astype(np.int32))], names=["doc_id", "tag", "at", *KIND, "size"])
 
-    return docs.mapInArrow(run, "doc_id long, at long, f long, h1 long, h2 long, left int")
+    return docs.mapInArrow(run, "doc_id long, tag int, at long, f long, h1 long, h2 long, left int, size int")
 
 
-def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Regions' bytes: (f, g, h1, left, n, doc_id, at, content) for ``wanted`` (doc_id, at, f, h1, h2, left, n)."""
+def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(f, h1, h2, left, n, hot, content) of ``wanted`` (doc_id, tag, at, f, h1, h2, left, size, n, hot)."""
     import xxhash
 
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "f", "h1", "h2", "left", "n")).alias("spots"))
+    lists = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "size", *KIND, "n", "hot")).alias("spots"))
 
     def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
             for part in common.slices(batch, "body", 500_000):
                 rows = []
-                for ident, body, spots in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist(), part.column("spots").to_pylist(), strict=True):
+                for body, spots in zip(part.column("body").to_pylist(), part.column("spots").to_pylist(), strict=True):
                     raw = (body or "").encode()
                     for s in spots:
-                        content = raw[s["at"] - s["left"] : s["at"] + length]
-                        if xxhash.xxh3_128_digest(content) == np.array([s["h1"], s["h2"]], "<i8").tobytes():  # else another row of this id
-                            rows.append((s["f"], s["h1"], s["left"], s["n"], ident, s["at"], content))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=["g", "h1", "left", "n", "doc_id", "at", "content"])
+                        content = raw[s["at"] : s["at"] + s["size"]]
+                        if xxhash.xxh3_128_digest(content) == np.array([s["h1"], s["h2"]], "<i8").tobytes():
+                            rows.append((s["f"], s["h1"], s["h2"], s["left"], s["n"], s["hot"], content))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[*KIND, "n", "hot", "content"])
 
-    joined = docs.join(lists, "doc_id").select("doc_id", "body", "spots")
-    return joined.mapInArrow(run, "g long, h1 long, left int, n long, doc_id long, at long, content binary").dropDuplicates(["g", "doc_id", "at", "h1", "left"])
+    joined = docs.join(lists, ["doc_id", "tag"]).select("body", "spots")
+    return joined.mapInArrow(run, "f long, h1 long, h2 long, left int, n long, hot boolean, content binary")
 
 
-def _against_pivot(rows: DataFrame, length: int) -> DataFrame:
-    """Compare regions with their group's pivot: (kind, g, cl, cr, region); kind 0 spans, 1 rows of new groups."""
-    import xxhash
+def pieces(left: int, content: bytes, length: int, width: int = WIDTHS[0]) -> list[tuple[int, int, bytes, bytes, bytes]]:
+    """(k, low, bytes before the core, core, bytes after it) of a region; ``low`` is the piece's first byte.
 
-    def agree(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b))
-        x = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
-        return int(x.argmax()) if n and x.any() else n
-
-    def run(batches):
-        names = ["g", "h1", "left", "n", "doc_id", "at", "content", "low", "high", "p_doc", "p_low", "p_high"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                own, other = r["content"], r["p_content"]
-                a, b = own[: r["left"]], other[: r["p_left"]]
-                c, d = own[r["left"] :], other[r["p_left"] :]
-                left, right = agree(a[::-1], b[::-1]), agree(c, d)
-                base = (r["g"], r["h1"], r["left"], r["n"], r["doc_id"], r["at"])
-                if (r["doc_id"], r["at"]) == (r["p_doc"], r["p_at"]) and r["h1"] == r["p_h1"]:
-                    continue
-                if left + right >= length:
-                    out.append((*base, None, r["at"] - left, r["at"] + right, r["p_doc"], r["p_at"] - left, r["p_at"] + right))
-                if left < len(a):
-                    key = np.frombuffer(xxhash.xxh3_64_digest(b"L%d:%d:" % (r["g"], left) + a[len(a) - left - 1 :]), "<i8")[0]
-                    out.append((int(key), *base[1:], own, None, None, None, None, None))
-                if right < len(c):
-                    key = np.frombuffer(xxhash.xxh3_64_digest(b"R%d:%d:" % (r["g"], right) + c[: right + 1]), "<i8")[0]
-                    out.append((int(key), *base[1:], own, None, None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
-
-    return rows.repartition(_tasks(rows)).mapInArrow(run, "g long, h1 long, left int, n long, doc_id long, at long, content binary, low long, high long, p_doc long, p_low long, p_high long")
-
-
-def _width(length: int) -> int:
-    """How many places strings of one piece start at."""
-    return -(-(_reach(length) + 1) // CORES)
-
-
-def pieces(left: int, content: bytes, length: int) -> list[tuple[int, int, bytes, int]]:
-    """(k, low, bytes, bytes before the core) of a region's pieces; ``low`` counts from the region's first byte.
-
-    Piece k holds the strings with k * width to (k + 1) * width - 1 bytes before the anchor.
+    Piece k holds the strings with k * width to (k + 1) * width - 1 bytes before the anchor, as far as the region has them.
     """
-    width, out = _width(length), []
-    for k in range(CORES):
-        a, b = left - k * width, left - (k + 1) * width + 1 + length
-        if a >= 0 and b <= len(content):
-            low = max(0, a - width + 1)
-            out.append((k, low, content[low : a + length], a - low))
+    out, least = [], left - (len(content) - length)
+    for k in range(least // width, left // width + 1):
+        low, core = left - min(left, (k + 1) * width - 1), left - k * width
+        end, after = left - max(least, k * width) + length, core + length - width + 1
+        out.append((k, low, content[low:core], content[core:after], content[after:end]))
     return out
 
 
-def core(piece: bytes, before: int, length: int) -> bytes:
-    return piece[before : before + length - _width(length) + 1]
+def finer(before: bytes, after: bytes, width: int, to: int) -> list[tuple[int, int, bytes, bytes, bytes, bytes]]:
+    """(k, low, before, joined to the core on the left, on the right, after) of a piece cut into pieces of ``to`` places."""
+    out = []
+    for k in range((width - 1 - len(after)) // to, len(before) // to + 1):
+        most, right = min(len(before), (k + 1) * to - 1), width - (k + 1) * to
+        low, core = len(before) - most, len(before) - k * to
+        out.append((k, low, before[low:core], before[core:], after[:right], after[right : width - 1 - max(width - 1 - len(after), k * to)]))
+    return out
 
 
-def group_pieces(group: list[tuple], length: int) -> tuple[list[tuple[int, int, int]], list[list[tuple]]]:
-    """Spans (doc_id, low, high) of a group's equal pieces, and its other pieces in classes with equal cores.
+def shard_spans(classes: list[list[tuple[int, bytes, bytes]]], width: int) -> list[list[tuple[int, int] | None]]:
+    """(first, last) start, in bytes from its first, of the repeated strings of each piece, or None.
 
-    group: (h1, left, n, doc_id, at, content). Of a class: (n, doc_id, low, bytes, bytes before the core), where n > 1
-    stands for several places, whose spans are known. A class of one different piece has nothing left to find.
-    """
-    classes: dict = {}
-    for _, left, n, ident, at, content in group:
-        for k, low, piece, before in pieces(left, content, length):
-            equal = classes.setdefault((k, core(piece, before, length)), {}).setdefault((before, piece), [])
-            equal.append((n, ident, at - left + low))
-    spans, rest = [], []
-    for found in classes.values():
-        for (_, piece), equal in found.items():
-            if len(equal) > 1:
-                spans += [(ident, low, low + len(piece)) for n, ident, low in equal if n == 1]
-        if len(found) > 1:
-            merged = [(sum(e[0] for e in equal), equal[0][1], equal[0][2], piece, before) for (before, piece), equal in found.items()]
-            if any(m[0] == 1 for m in merged):
-                rest.append(merged)
-    return spans, rest
-
-
-def shard_spans(classes: list[list[tuple]], length: int) -> list[tuple[int, int, int]]:
-    """Spans (doc_id, low, high) of the pieces in a shard that another piece of their class has too; see group_pieces.
-
-    A core becomes two symbols above all bytes, so a string of ``length`` bytes becomes one of ``short`` symbols. As
-    strings of a class have the core at different places unless they start equally far from the anchor, equal strings
-    are always those of different pieces.
+    A class holds the different pieces of one core, as (how often, bytes before, bytes after). A core becomes two symbols
+    above all bytes, so a string of ``length`` bytes becomes one of width + 1 symbols, equal exactly where it was.
     """
-    width = _width(length)
     short = width + 1
     rows = [p for c in classes for p in c]
     if not rows:
         return []
-    code = np.repeat(np.arange(len(classes)), [len(c) for c in classes])
-    before = np.array([p[4] for p in rows], np.int64)
-    margins = [p[3][: p[4]] + b"\0\0" + p[3][p[4] + length - width + 1 :] for p in rows]
-    size = np.array([len(m) for m in margins])
-    data = np.frombuffer(b"".join(margins), np.uint8).astype(np.uint16)
+    copies = np.minimum([p[0] for p in rows], 2)
+    row = np.repeat(np.arange(len(rows)), copies)
+    texts = [p[1] + b"\0\0" + p[2] for p in rows]
+    data = np.frombuffer(b"".join([t for t, c in zip(texts, copies.tolist(), strict=True) for _ in range(c)]), np.uint8).astype(np.uint16)
+    size = np.array([len(t) for t in texts])[row]
     end = np.cumsum(size)
-    data[end - size + before] = 256 + (code >> 8)
-    data[end - size + before + 1] = 256 + (code & 255)
+    code = np.repeat(np.arange(len(classes)), [len(c) for c in classes])[row]
+    core = end - size + np.array([len(p[1]) for p in rows])[row]
+    data[core] = 256 + (code >> 8)
+    data[core + 1] = 256 + (code & 255)
     sa = suffix_array(data)
     lcp = permuted_lcp(data, sa)[sa]
-    region = np.repeat(np.arange(len(rows)), size)
-    fits = np.arange(len(data)) + short <= end[region]
-    several = np.array([p[0] > 1 for p in rows])
+    text = np.repeat(np.arange(len(row)), size)
+    fits = np.arange(len(data)) + short <= end[text]
     kind = np.cumsum(lcp < short)
     pick = fits[sa]
     spot, kind = sa[pick], kind[pick]
-    if not len(spot):
-        return []
-    begin = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
-    count = np.diff(np.r_[begin, len(spot)])
-    twice = spot[np.repeat(count > 1, count)]
-    low, high = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), -1)
-    np.minimum.at(low, region[twice], twice)
-    np.maximum.at(high, region[twice], twice)
-    base = np.array([p[2] for p in rows], np.int64) - (end - size)
-    return [(rows[i][1], int(low[i] + base[i]), int(high[i] + base[i]) + length) for i in np.flatnonzero((high >= 0) & ~several)]
+    low, high = np.full(len(rows), len(data)), np.full(len(rows), -1)
+    if len(spot):
+        begin = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+        count = np.diff(np.r_[begin, len(spot)])
+        twice = spot[np.repeat(count > 1, count)]
+        inside = twice - (end - size)[text[twice]]
+        np.minimum.at(low, row[text[twice]], inside)
+        np.maximum.at(high, row[text[twice]], inside)
+    found = iter([(a, b) if b >= 0 else None for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+    return [[next(found) for _ in c] for c in classes]
+
+
+class _Shard:
+    """Groups of regions that are sorted together; adding up their pieces and the spans found in them."""
+
+    def __init__(self, length: int):
+        self.length, self.symbols = length, 0
+        self.regions: list[tuple] = []
+        self.classes: list[list[tuple[int, bytes, bytes]]] = []
+        self.users: list[list[list[tuple[int, int]]]] = []
+
+    def add(self, group: list[tuple]) -> None:
+        """group: (f, h1, h2, left, n, content)."""
+        cores: dict = {}
+        for *key, n, content in group:
+            for k, low, before, core, after in pieces(key[3], content, self.length):
+                piece = cores.setdefault((k, core), {}).setdefault((before, after), [0, []])
+                piece[0] += n
+                piece[1].append((len(self.regions), low))
+            self.regions.append(tuple(key))
+        for found in cores.values():
+            members = [(n, before, after) for (before, after), (n, _) in found.items()]
+            if len(members) > 1 or members[0][0] > 1:  # a core that occurs once can't be in a repeated string
+                self.classes.append(members)
+                self.users.append([used for _, used in found.values()])
+                self.symbols += sum((len(b) + len(a) + 2) * min(n, 2) for n, b, a in members)
+
+    def spans(self) -> pa.RecordBatch:
+        low, high = [1 << 30] * len(self.regions), [-1] * len(self.regions)
+        for used, found in zip(self.users, shard_spans(self.classes, WIDTHS[0]), strict=True):
+            for places, span in zip(used, found, strict=True):
+                if span:
+                    for i, at in places:
+                        low[i], high[i] = min(low[i], at + span[0]), max(high[i], at + span[1])
+        rows = [(*r, a, b + self.length) for r, a, b in zip(self.regions, low, high, strict=True) if b >= 0]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[*KIND, "low", "high"])
+
+
+_SPANS = "f long, h1 long, h2 long, left int, low int, high int"
 
 
 def _shards(regions: DataFrame, length: int) -> DataFrame:
-    """Spans of all regions, each group whole in one shard; a task sorts about SHARD_SYMBOLS at a time."""
+    """(f, h1, h2, left, low, high): the bytes of regions that repeated strings cover; a group is whole in one shard."""
 
     def run(batches):
-        held, found, group, last, size = [], [], [], None, 0
+        shard, group, last = _Shard(length), [], None
+        for batch in batches:
+            for r in zip(*[batch.column(c).to_pylist() for c in (*KIND, "n", "content")], strict=True):
+                if r[0] != last and group:
+                    shard.add(group)
+                    group = []
+                    if shard.symbols >= SHARD_SYMBOLS or len(shard.regions) >= SHARD_SYMBOLS // 50:
+                        yield shard.spans()
+                        shard = _Shard(length)
+                last = r[0]
+                group.append(r)
+        shard.add(group)
+        yield shard.spans()
 
-        def add() -> int:
-            spans, classes = group_pieces(group, length)
-            found.extend(spans)
-            held.extend(classes)
-            group.clear()
-            return sum(2 * _width(length) * len(c) for c in classes)
+    return regions.select(*KIND, "n", "content").repartition(_tasks(regions), "f").sortWithinPartitions("f").mapInArrow(run, _SPANS)
 
-        def flush():
-            spans = found + shard_spans(held, length)
-            held.clear()
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], names=["doc_id", "low", "high"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("g", "h1", "left", "n", "doc_id", "at", "content")]
-            for g, *rest in zip(*columns, strict=True):
-                if g != last and group:
-                    size += add()
-                    if size >= SHARD_SYMBOLS or len(found) >= SHARD_SYMBOLS:
-                        yield flush()
-                        size = 0
-                last = g
-                group.append(tuple(rest))
-        add()
-        yield flush()
 
-    columns = ["g", "h1", "left", "n", "doc_id", "at", "content"]
-    return regions.select(columns).repartition(_tasks(regions), "g").sortWithinPartitions("g").mapInArrow(run, "doc_id long, low long, high long")
+_PIECE = "g1 long, g2 long, before binary, after binary, f long, h1 long, h2 long, left int, low int, n long"
 
 
-def _split_by_core(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Pieces of regions, each different one once, in a group for each core; and spans of equal pieces."""
+def _pieces(rows: DataFrame, length: int, width: int, wider: int | None) -> DataFrame:
+    """Rows of _PIECE: regions cut into pieces, or pieces of ``wider`` places cut on; a group (g1, g2) has one core."""
     import xxhash
 
     def run(batches):
-        names = ["g", "h1", "h2", "left", "n", "doc_id", "at", "content"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                for k, low, piece, before in pieces(r["left"], r["content"], length):
-                    g = np.frombuffer(xxhash.xxh3_64_digest(b"%d:%d:" % (r["g"], k) + core(piece, before, length)), "<i8")[0]
-                    h = np.frombuffer(xxhash.xxh3_128_digest(piece), "<i8")
-                    out.append((int(g), int(h[0]), int(h[1]), r["left"] - low, r["n"], r["doc_id"], r["at"], piece))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
-
-    cut = rows.repartition(_tasks(rows)).mapInArrow(run, "g long, h1 long, h2 long, left int, n long, doc_id long, at long, content binary")
-    cut = common.materialise(cut, "pieces")
-    key = ["g", "h1", "h2", "left"]
-    kinds = cut.groupBy(key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "at")).alias("spot"))
-    kinds = common.materialise(kinds, "kinds")
-    equal = cut.where("n = 1").join(kinds.where("rows > 1").select(key), key)
-    spans = equal.select("doc_id", (F.col("at") - F.col("left")).alias("low"), (F.col("at") - F.col("left") + F.length("content")).alias("high"))
-    groups = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("different")).where("different > 1").select("g")
-    one = kinds.join(groups, "g").select(*key, "n", "spot.doc_id", "spot.at")
-    rest = cut.drop("n").join(one, [*key, "doc_id", "at"]).select("g", "h1", "left", "n", "doc_id", "at", "content")
-    return rest.dropDuplicates(["g", "doc_id", "at", "h1", "left"]), spans
+                base = (r["f"], r["h1"], r["h2"], r["left"])
+                if wider is None:
+                    for k, low, before, core, after in pieces(r["left"], r["content"], length, width):
+                        g = np.frombuffer(xxhash.xxh3_128_digest(b"%d:%d:" % (r["f"], k) + core), "<i8").tolist()
+                        out.append((*g, before, after, *base, low, r["n"]))
+                else:
+                    for k, low, before, left, right, after in finer(r["before"], r["after"], wider, width):
+                        g = np.frombuffer(xxhash.xxh3_128_digest(b"%d:%d:%d:%d:" % (r["g1"], r["g2"], k, len(left)) + left + right), "<i8").tolist()
+                        out.append((*g, before, after, *base, r["low"] + low, r["n"]))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["g1", "g2", "before", "after", *KIND, "low", "n"])
 
+    return rows.repartition(_tasks(rows)).mapInArrow(run, _PIECE)
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, low, high): byte spans, possibly overlapping, that cover what repeats; docs are (doc_id, body)."""
-    table = common.materialise(anchor_table(docs, length), "anchors")
-    where = (F.col("doc_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")) * F.lit("1" + "0" * 14).cast("decimal(15,0)") + F.col("at").cast("decimal(14,0)")
-    regions = table.groupBy("f", "h1", "h2", "left").agg(F.count(F.lit(1)).alias("n"), F.min(where.cast("decimal(38,0)")).alias("spot"))
-    regions = common.materialise(regions, "regions")
-    many = regions.where("n > 1").select("f", "h1", "h2", "left")
-    whole = table.join(many, ["f", "h1", "h2", "left"]).select("doc_id", (F.col("at") - F.col("left")).alias("low"), (F.col("at") + length).alias("high"))
-    differ = regions.groupBy("f").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    ten = F.lit("1" + "0" * 14).cast("decimal(15,0)")
-    wanted = regions.join(differ, "f").select(
-        (F.floor(F.col("spot") / ten).cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long").alias("doc_id"),
-        (F.col("spot") % ten).cast("long").alias("at"), "f", "h1", "h2", "left", "n",
-    )
-    rest = common.materialise(_cut(docs, wanted, length), "cut")
-    spans = [common.materialise(whole, "whole")]
-    common.discard(table)
-    common.discard(regions)
-    split = False
-    while True:
-        sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("h1").alias("least"))
-        sizes = common.materialise(sizes.where("kinds > 1"), "sizes")
-        spans.append(common.materialise(_shards(rest.join(sizes.where(f"kinds <= {HOT}").select("g"), "g", "left_semi"), length), "spans"))
-        hot = sizes.where(f"kinds > {HOT}").select("g", "least")
-        if not hot.limit(1).take(1):
+
+def _sorted_pieces(kinds: DataFrame, width: int) -> DataFrame:
+    """(g1, g2, before, after, from, to): the first and last repeated string of each piece that has one."""
+
+    def run(batches):
+        keys, classes, symbols, last = [], [], 0, None
+
+        def flush():
+            rows = [(*key, *span) for group, found in zip(keys, shard_spans(classes, width), strict=True) for key, span in zip(group, found, strict=True) if span]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=["g1", "g2", "before", "after", "from", "to"])
+
+        for batch in batches:
+            for g1, g2, before, after, n in zip(*[batch.column(c).to_pylist() for c in ("g1", "g2", "before", "after", "n")], strict=True):
+                if (g1, g2) != last:
+                    if symbols >= SHARD_SYMBOLS:
+                        yield flush()
+                        keys, classes, symbols = [], [], 0
+                    last = (g1, g2)
+                    keys.append([])
+                    classes.append([])
+                keys[-1].append((g1, g2, before, after))
+                classes[-1].append((n, before, after))
+                symbols += (len(before) + len(after) + 2) * min(n, 2)
+        yield flush()
+
+    dealt = kinds.repartition(_tasks(kinds), "g1", "g2").sortWithinPartitions("g1", "g2")
+    return dealt.mapInArrow(run, "g1 long, g2 long, before binary, after binary, from int, to int")
+
+
+def _large_groups(regions: DataFrame, length: int) -> list[DataFrame]:
+    """Tables like that of ``_shards`` for regions whose groups are too large for a shard."""
+    found, rows, wider, key = [], regions, None, ["g1", "g2", "before", "after"]
+    for width in WIDTHS:
+        cut = common.materialise(_pieces(rows, length, width, wider), "pieces")
+        if not cut.limit(1).take(1):
             break
-        if not split:
-            split = True
-            rest, equal = _split_by_core(rest.join(hot.select("g"), "g"), length)
-            rest = common.materialise(rest, "rest")
-            spans.append(common.materialise(equal, "equal"))
-            continue
-        heads = rest.join(hot, "g").where(F.col("h1") == F.col("least")).groupBy("g").agg(F.min(F.struct("left", "doc_id", "at", "h1", "content")).alias("p"))
-        heads = heads.select("g", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("left", "doc_id", "at", "h1", "content")]).withColumnRenamed("p_doc_id", "p_doc")
-        compared = common.materialise(_against_pivot(rest.join(heads, "g"), length), "compared")
-        found = compared.where("content is null")
-        spans.append(found.where("n = 1").select("doc_id", "low", "high"))
-        spans.append(found.select(F.col("p_doc").alias("doc_id"), F.col("p_low").alias("low"), F.col("p_high").alias("high")).distinct())
-        rest = compared.where("content is not null").select("g", "h1", "left", "n", "doc_id", "at", "content").dropDuplicates(["g", "doc_id", "at", "h1", "left"])
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.unionByName(s)
-    return out
+        kinds = common.materialise(cut.groupBy(key).agg(F.sum("n").alias("n")), "kinds")
+        groups = kinds.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("different"), F.max("n").alias("most")).where("different > 1 or most > 1")
+        groups = common.materialise(groups.select("g1", "g2", "different"), "groups")
+        fits = groups.where(F.lit(width == WIDTHS[-1]) | (F.col("different") <= HOT)).select("g1", "g2")
+        spans = common.materialise(_sorted_pieces(kinds.join(fits, ["g1", "g2"], "left_semi"), width), "sorted")
+        back = cut.join(spans, key).groupBy(KIND).agg(F.min(F.col("low") + F.col("from")).alias("low"), F.max(F.col("low") + F.col("to") + length).alias("high"))
+        found.append(common.materialise(back, "spans"))
+        rows, wider = cut.join(groups.where(F.col("different") > HOT).select("g1", "g2"), ["g1", "g2"], "left_semi"), width
+        common.discard(kinds)
+        common.discard(spans)
+    return found
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, tag, low, high): byte spans, possibly overlapping, that cover what repeats; docs are (doc_id, tag, body)."""
+    table = common.materialise(region_table(docs, length), "regions")
+    half, ten = F.lit("9223372036854775808").cast("decimal(20,0)"), F.lit("1" + "0" * 14).cast("decimal(15,0)")
+    spot = ((F.col("doc_id").cast("decimal(20,0)") + half) * ten + F.col("at").cast("decimal(14,0)")).cast("decimal(38,0)")
+    kinds = table.withColumn("spot", spot).groupBy(KIND).agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("spot"), F.min_by("tag", "spot").alias("tag"), F.min("size").alias("size"))
+    kinds = common.materialise(kinds, "kinds")
+    groups = kinds.groupBy("f").agg(F.count(F.lit(1)).alias("different"), F.max("n").alias("most")).where("different > 1 or most > 1")
+    wanted = kinds.join(groups.select("f", (F.col("different") > HOT).alias("hot")), "f").select(
+        (F.floor(F.col("spot") / ten).cast("decimal(20,0)") - half).cast("long").alias("doc_id"), "tag", (F.col("spot") % ten).cast("long").alias("at"), "size", *KIND, "n", "hot"
+    )
+    cut = common.materialise(_cut(docs, wanted), "cut")
+    common.discard(kinds)
+    small = common.materialise(_shards(cut.where("not hot"), length), "spans")
+    found = [small, *_large_groups(cut.where("hot"), length)]
+    common.discard(cut)
+    out = None
+    for part in found:
+        out = part if out is None else out.unionByName(part)
+    return table.join(out, KIND).select("doc_id", "tag", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
+
+
+def _tag(ident: Column, body: Column) -> Column:
+    return F.hash(ident.isNull(), body)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, n_bytes, n_removed, spans array<struct<low,high>>, kept binary) of every row; ids are integers.
 
     Every byte that lies in a string of ``length`` bytes which also starts anywhere else, in any document, is removed.
-    A null text is empty. Rows that repeat an id and a text repeat each other's strings, so all their bytes go. A row
-    without an id is looked through like any other, under a negative id of its own.
+    A null text is empty; texts of fewer bytes lose nothing; texts of any length are read whole, in steps. Rows that
+    repeat an id and a text repeat each other's strings, so all their bytes go; rows that repeat an id with different
+    texts, and rows without an id, are documents of their own. An empty table gives no rows. Other columns, whatever
+    their names, are not read.
     """
+    common.ship(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("long").alias("real"), F.col(text).alias("body"))
-    rows = rows.select("real", F.coalesce("real", -1 - F.abs(F.xxhash64("body")) % F.lit(1 << 62)).alias("doc_id"), "body")
-    spans = repeated_spans(rows.select("doc_id", "body"), length)
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("raw"))
+    rows = rows.select("real", F.coalesce("real", F.xxhash64("body")).alias("doc_id"), _tag(F.col("real"), F.col("body")).alias("tag"), "body")
+    spans = repeated_spans(rows.select("doc_id", "tag", "body"), length)
+    lists = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("low", "high")).alias("raw"))
 
     def run(batches):
         for batch in batches:
@@ -381,9 +375,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, ident: str = "doc_id",
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column("real"), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], names=[ident, "n_bytes", "n_removed", "spans", "kept"])
 
-    return rows.join(lists, "doc_id", "left").select("real", "body", "raw").mapInArrow(run, f"`{ident}` long, n_bytes long, n_removed long, spans array<struct<low: long, high: long>>, kept binary")
+    return rows.join(lists, ["doc_id", "tag"], "left").select("real", "body", "raw").mapInArrow(run, f"`{ident}` long, n_bytes long, n_removed long, spans array<struct<low: long, high: long>>, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(common.documents(spark, sf_dir))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), p AS (
+  SELECT doc_id, b, unnest(range(0, greatest(n - 399, 0))) AS s FROM d
+), w AS (
+  SELECT doc_id, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM p
+), t AS (
+  SELECT doc_id, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+), o AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS opens FROM t
+), g AS (
+  SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM o
+), spans AS (
+  SELECT doc_id, run, min(s) AS low, max(s) + 400 AS high FROM g GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) AS a, low AS z FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(high), 0), any_value(n) FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+), kept AS (
+  SELECT doc_id, sha256(unhex(string_agg(hex(array_slice(b, a + 1, z)), '' ORDER BY a))) AS kept_sha256 FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(high - low) AS removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
