@@ -2,18 +2,21 @@
 
 Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and share a total; none exceeds a
 multiple of its own size, and what is over goes to the others by weight (water filling, in closed form over the
-table of sources). Copies: with r = target / source size, every document is taken floor(r) times; for the rest it
-has inclusion probability p = r - floor(r), the odds of a fixed random number are divided by the odds of p, and
-documents are taken in ascending order of that quotient until their words come nearest to the target.
+table of sources). Copies: with r = target / source size, every document is taken floor(r) times whole; the rest of
+the target is a sample without replacement, with probabilities of inclusion in proportion to size: p = min(1, l * size),
+where l makes the expected words equal to the rest. Documents are ranked by the odds of a fixed random number divided
+by the odds of p, and taken in that order until their words come nearest to the rest.
 
-No window spans a source: quotients are binned, a histogram of words per bin finds the bin where each source's
-target is crossed, and only the documents of that bin are sorted.
+No task sees a whole source: ranked documents are range-partitioned by (source, quotient), which cuts a source of any
+size into even stretches; words are summed inside each stretch, and the sums of stretches, a row each, are added up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,57 +48,99 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
     return rows.select("source", "source_size", "n_docs", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """Return (ident, size, source_size, target, taken, copies), one row per input row.
+def inclusion(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(of, level, certain): p = min(1, level * size), and documents of ``certain`` words or more are certain.
+
+    sized: (source, size); plan: (of, rest). If the k largest documents are certain, the others share what these leave,
+    in proportion to size; k is the least for which no other document would exceed certainty. Works on counts by
+    source and size, whose rows are bounded by the lengths that texts can have, not by the documents.
+    """
+    counts = sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("m"))
+    rows = counts.join(plan.select("of", "rest"), F.col("source").eqNullSafe(F.col("of")))
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    words, squares = F.col("m") * F.col("size"), (F.col("m") * F.col("size") * F.col("size")).cast("decimal(38,0)")
+    rows = rows.withColumn("over", F.coalesce(F.sum(words).over(above), F.lit(0))).withColumn("below", F.sum(squares).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double"))
+    rows = rows.withColumn("level", (F.col("rest") - F.col("over")) / F.col("below"))
+    # From the longest size down, the first that its level doesn't make certain fixes the level of all below.
+    return rows.where(F.col("level") * F.col("size") < 1).groupBy("of").agg(F.max(F.struct("size", "level"))["level"].alias("level"))
+
+
+def mix_sources(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, more: Column | None = None
+) -> DataFrame:
+    """Return (ident, size, source_size, target, taken, copies), one row per input row, and ``more`` if it is given.
 
     A null text has size 0; a null source is a source of its own, the last. Rows that repeat an id share its random
-    number and are ordered by size. Empty tables give empty results; other columns are not read. The table of ids
-    and sizes is written to the shared folder, so texts are read once.
+    number and are ordered by size. Texts of any length are counted whole. Empty tables give empty results; other
+    columns, whatever their names, are not read. Ids and sizes are written to the shared folder, so texts are read once.
+    The table of sources, a row per source, is written too; Spark broadcasts it only below its own limit of size. One
+    task computes the targets from it, so sources must be some millions at most; documents may be any number.
     """
+    common.ship(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    narrow = common.materialise(docs.select(F.col(ident).alias("ident"), F.col(source).alias("source"), size.alias("size")), "mix")
+    extra = F.lit(None).cast("binary") if more is None else more
+    narrow = common.materialise(docs.select(F.col(ident).alias("ident"), F.col(source).alias("source"), size.alias("size"), extra.alias("more")), "mix")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     plan = targets(sizes, weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = (
-        plan.withColumn("whole", F.floor(ratio))
-        .withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-        .withColumn("p", F.least(F.greatest(ratio - F.col("whole"), F.lit(1e-12)), F.lit(1 - 1e-12)))
-        .withColumn("bins", (F.lit(64) + F.floor(F.col("n_docs") / 4096)).cast("long"))
-        .withColumnRenamed("source", "of")
-    )
-    u = uniform(F.col("ident"), seed)
-    ranked = (
-        narrow.join(plan, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("u", u)
-        .withColumn("q", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
-        .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * F.col("bins")))
-    )
-    filled = ranked.groupBy("of", "rest", "bin").agg(F.sum("size").alias("in_bin"))
-    upto = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        filled.withColumn("upto", F.sum("in_bin").over(upto))
-        .where(F.col("upto") >= F.col("rest"))
-        .groupBy(F.col("of").alias("cut_of"))
-        .agg(F.min("bin").alias("cut_bin"), F.min(F.col("upto")).alias("upto"))
-    )
-    # Words before the bin: those up to it, less its own; the smallest running sum at or over the rest is that bin's.
-    inside = filled.select(F.col("of").alias("in_of"), F.col("bin").alias("in_at"), "in_bin")
-    cut = cut.join(inside, F.col("cut_of").eqNullSafe(F.col("in_of")) & (F.col("cut_bin") == F.col("in_at"))).select("cut_of", "cut_bin", (F.col("upto") - F.col("in_bin")).alias("before"))
-    ranked = ranked.join(cut, F.col("of").eqNullSafe(F.col("cut_of")), "left")
-    clear = ranked.where(F.col("cut_bin").isNull() | (F.col("bin") != F.col("cut_bin"))).withColumn("more", (F.coalesce(F.col("cut_bin"), F.lit(-1)) > F.col("bin")).cast("long"))
-    within = Window.partitionBy("of").orderBy("q", "u", "ident", "size")
-    running = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    close = ranked.where(F.col("bin") == F.col("cut_bin")).withColumn("more", (F.col("before") + running + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    both = clear.unionByName(close).withColumn("copies", F.col("whole") + F.col("more"))
-    return both.select(F.col("ident").alias(ident), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
-
-
-def take_copies(docs: DataFrame, ident: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: each as often as it has copies."""
-    taken = mix_sources(docs, ident, **options).groupBy(F.col(ident).alias("__mix_id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(taken.where("__copies > 0"), F.col(ident).eqNullSafe(F.col("__mix_id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = plan.withColumn("whole", F.floor(ratio)).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))).withColumnRenamed("source", "of")
+    plan = common.materialise(plan.select("of", "source_size", "target", "whole", "rest"), "plan")
+    levels = inclusion(narrow.select("source", "size"), plan).withColumnRenamed("of", "level_of")
+    plan = common.materialise(plan.join(levels, F.col("of").eqNullSafe(F.col("level_of")), "left").drop("level_of"), "plan")
+    p = F.least(F.coalesce(F.col("level"), F.lit(1.0)) * F.col("size"), F.lit(1.0))
+    odds = F.col("u") / (1 - F.col("u"))
+    # An empty text has no chance and no words: it comes last. A certain one has quotient 0.
+    quotient = F.when(F.col("p") > 0, odds * ((1 - F.col("p")) / F.col("p"))).otherwise(F.lit(float("inf")))
+    ranked = narrow.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("u", uniform(F.col("ident"), seed)).withColumn("p", p).withColumn("q", quotient)
+    order = [F.col("of").asc_nulls_last(), F.col("q"), F.col("u"), F.col("ident"), F.col("size"), F.col("more")]
+    dealt = ranked.select("ident", "size", "more", "of", "q", "u").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, last, words = TaskContext.get().partitionId(), (), 0
+        for batch in batches:
+            names = batch.column("of").to_pylist()
+            upto = np.cumsum(batch.column("size").to_numpy())
+            before = upto - batch.column("size").to_numpy()
+            starts = [i for i, name in enumerate(names) if (name,) != ((names[i - 1],) if i else last)]
+            out = before + words
+            for i in starts:
+                out[i:] = before[i:] - before[i]
+            last, words = (names[-1],), int(out[-1] + upto[-1] - before[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out), pa.array(np.full(len(out), part, np.int32))], names=["ident", "size", "more", "of", "inside", "part"])
+
+    kinds = dict(ranked.dtypes)
+    summed = common.materialise(dealt.drop("q", "u").mapInArrow(run, f"ident {kinds['ident']}, size long, more {kinds['more']}, of {kinds['of']}, inside long, part int"), "ranked")
+    # A stretch is what a task has of a source: at most as many as tasks and sources together.
+    stretches = summed.groupBy("of", "part").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = stretches.select(F.col("of").alias("in_of"), F.col("part").alias("in_part"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    stretches = common.materialise(stretches, "stretches")
+    placed = summed.join(stretches, F.col("of").eqNullSafe(F.col("in_of")) & (F.col("part") == F.col("in_part")))
+    placed = placed.join(plan.select(F.col("of").alias("plan_of"), "source_size", "target", "whole", "rest"), F.col("of").eqNullSafe(F.col("plan_of")))
+    once = (F.col("rest") > 0) & (F.col("before") + F.col("inside") + F.col("size") / 2 <= F.col("rest"))
+    both = placed.withColumn("copies", F.col("whole") + once.cast("long"))
+    columns = [F.col("ident").alias(ident), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"]
+    return both.select(*columns, *([] if more is None else ["more"]))
+
+
+def take_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: each as often as it has copies, with all their columns.
+
+    Rows are told apart by id, source and text. Of rows that repeat all three the copies are added up and dealt to one.
+    """
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    taken = mix_sources(docs, ident, text, source, more=F.struct(F.col(source).alias("source"), digest.alias("digest")), **options)
+    copies = taken.groupBy(F.col(ident).alias("id"), F.col("more.source").alias("source"), F.col("more.digest").alias("digest")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    copies = common.materialise(copies, "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("digest"))
+    if copies.where("rows > 1").limit(1).take(1):
+        rows = rows.groupBy(F.col(f"row.`{ident}`").alias("id"), F.col(f"row.`{source}`").alias("source"), "digest").agg(F.first("row").alias("row")).select("row", "digest")
+    keep = copies.where("copies > 0").select("id", "source", F.col("digest").alias("of"), "copies")
+    same = F.col(f"row.`{ident}`").eqNullSafe(F.col("id")) & F.col(f"row.`{source}`").eqNullSafe(F.col("source")) & (F.col("digest") == F.col("of"))
+    return rows.join(keep, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,13 +167,23 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(coalesce(level * weight, cap), cap) AS target FROM f, l
 ), r AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t
+  SELECT *, greatest(target - whole * source_size, 0.0::DOUBLE) AS rest FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t)
+), k AS (
+  SELECT d.source, d.size, r.rest, count(*) AS m FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WHERE d.size > 0 GROUP BY ALL
+), v AS (
+  SELECT source, size, (rest - coalesce(sum(m * size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(m * size * size) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM k WINDOW w AS (PARTITION BY source ORDER BY size DESC)
+), y AS (
+  SELECT source, arg_max(level, size) AS level FROM v WHERE level * size < 1 GROUP BY source
+), e AS (
+  SELECT d.*, r.source_size, r.target, r.whole, r.rest, least(coalesce(y.level, 1.0::DOUBLE) * d.size, 1.0::DOUBLE) AS p
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source
+), q AS (
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) ELSE 'inf'::DOUBLE END AS q FROM e
 ), x AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, greatest(r.target - r.whole * r.source_size, 0.0::DOUBLE) AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM q
+), o AS (
+  SELECT *, whole + CASE WHEN rest > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS copies FROM x
 )
-SELECT doc_id, size, source_size, target,
-       ((whole + CASE WHEN before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
-       (whole + CASE WHEN before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM x
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM o
 """
