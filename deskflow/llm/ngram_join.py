@@ -6,12 +6,16 @@ total order. Three orders are used: (1) from rare to frequent, (2) coarsely from
 prefix n-gram under the second and third order, and only then are verified on their texts.
 
 Links are found without pairing up groups of copies: equal sets are one representative; a first round verifies each
-document against one pivot of each n-gram it is indexed by (the one where the n-gram comes first); a second round
-joins only documents of different components, and finds every link that can still change a component. So ``ngram_join``
-knows components, not links; ``ngram_links`` verifies every candidate pair and counts each row's links.
+document against one pivot of each n-gram it is indexed by (the one where the n-gram comes first); a second round looks
+for links that can still change a component, only at n-grams whose documents are in several components. A few documents
+that share such an n-gram are paired. Of many, each is written as what it differs in from their pivot: two documents
+link only if they also share enough of these differences, so the differences are filtered by prefixes again, under
+orders of how rare they are among that pivot's documents. What the whole group shares then makes no candidates. So
+``ngram_join`` knows components, not links; ``ngram_links`` verifies every candidate pair and counts each row's links.
 
 Frequencies come from a table of 2**20 counters over all documents. A bound on its size costs nothing in exactness:
-any order is valid, counters only make it a good one.
+any order is valid, counters only make it a good one. Where every counter is full, rare and common n-grams mix, and more
+documents share an indexed n-gram; such groups are what the differences are for.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from deskflow.llm.components import components
 COUNTERS = 1 << 20
 #: Rows of one n-gram that meet in a task of ``ngram_links``; an n-gram with more is cut into blocks, paired one by one.
 BLOCK = 256
+#: Open rows of one n-gram up to which the second round pairs them, so that a row meets a bounded number of others.
+FEW = 64
+ORDERS = 5  # orders of a group's differences
 U = np.uint64
 
 
@@ -84,7 +91,7 @@ def _sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def profile(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, hi, lo) with a 128-bit key of each set, and one row of counters (in ``counts``) of each task."""
+    """(doc_id, tag, n, hi, lo) with a 128-bit key of each set, and one row of counters (in ``counts``) of each task."""
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -94,13 +101,13 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
                 value, row = shingle_sets(part.column("body"), words)
                 total += np.bincount((value >> U(44)).astype(np.int64), minlength=COUNTERS)
                 hi, lo = _sums(value, row, n), _sums(common.mix(value ^ U(0xA5A5A5A5A5A5A5A5)), row, n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.nulls(n, pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.nulls(n, pa.list_(pa.int64()))], names=["doc_id", "tag", "n", "hi", "lo", "counts"])
         seen = np.flatnonzero(total)
         for at in range(0, len(seen), 100_000):
             packed = (seen[at : at + 100_000] << 40) | np.minimum(total[seen[at : at + 100_000]], (1 << 40) - 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.list_(pa.int64()))], names=["doc_id", "tag", "n", "hi", "lo", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long, counts array<long>")
+    return docs.mapInArrow(run, "doc_id long, tag long, n long, hi long, lo long, counts array<long>")
 
 
 def rarity(profiles: DataFrame) -> np.ndarray:
@@ -114,7 +121,7 @@ def rarity(profiles: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, int]) -> DataFrame:
-    """(doc_id, n, one, two, three): the prefixes of each set under the three orders."""
+    """(doc_id, tag, n, one, two, three): the prefixes of each set under the three orders."""
     num, den = share
 
     def run(batches):
@@ -132,9 +139,9 @@ def prefixes(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, i
                     chosen = key[_order(row, key)][pick]
                     flat = pa.array(chosen.view(np.int64)) if k == 0 else pa.array((common.mix(chosen) & U(0x7FFFFFFF)).astype(np.int32))
                     columns.append(pa.ListArray.from_arrays(ends, flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *columns], names=["doc_id", "n", "one", "two", "three"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(n, pa.int64()), *columns], names=["doc_id", "tag", "n", "one", "two", "three"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, one array<long>, two array<int>, three array<int>")
+    return docs.mapInArrow(run, "doc_id long, tag long, n long, one array<long>, two array<int>, three array<int>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -155,8 +162,33 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, i
                 keep = den * shared >= num * (n[:rows] + n[rows:] - shared)
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("body").alias("left_body")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("body").alias("right_body")), "b")
-    return joined.select("a", "b", "left_body", "right_body").mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with both texts; a side that many pairs have is a skewed join, which Spark splits."""
+    left, right = (texts.select(F.col("doc_id").alias(side), F.col("body").alias(f"{name}_body")) for side, name in (("a", "left"), ("b", "right")))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left_body", "right_body")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b, missing, differ): of each set a the n-grams that it and its pivot b don't share; ``missing`` are b's."""
+
+    def run(batches):
+        for batch in batches:
+            for part in common.slices(batch, "left_body", 500_000):
+                rows = part.num_rows
+                value, row = shingle_sets(pa.concat_arrays([part.column("left_body"), part.column("right_body")]), words)
+                pair = np.where(row >= rows, row - rows, row)
+                at = np.lexsort((value, pair))
+                value, pair, other = value[at], pair[at], row[at] >= rows
+                same = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+                alone = ~(np.r_[False, same][: len(value)] | np.r_[same, False][: len(value)])
+                ends = np.r_[0, np.cumsum(np.bincount(pair[alone], minlength=rows))].astype(np.int32)
+                missing = np.bincount(pair[alone & other], minlength=rows)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(missing, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(value[alone].view(np.int64)))], names=["a", "b", "missing", "differ"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, missing long, differ array<long>")
 
 
 @dataclass
@@ -166,9 +198,10 @@ class Index:
     words: int
     share: tuple[int, int]
     sets: DataFrame  # (doc_id, n, hi, lo) of every row
+    chosen: DataFrame  # (doc_id, n, hi, lo) of every id, whose text is the one with the least hash
     equal: DataFrame  # (hi, lo, n, rep) of every set with n-grams
     lists: DataFrame  # (doc_id, n, one, two, three) of the representatives
-    shared: DataFrame  # (token, doc_id, n, i, pivot, j) of n-grams that some other document has too
+    shared: DataFrame  # (token, doc_id, n, i, pivot, pivot_n, j) of n-grams that some other document has too
     texts: DataFrame  # (doc_id, body)
 
     def enough(self, a: str, i: str, b: str, j: str) -> Column:
@@ -185,25 +218,83 @@ class Index:
 
 
 def indexed(docs: DataFrame, words: int, share: tuple[int, int], ident: str, text: str) -> Index:
-    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("body"))
+    common.ship(docs.sparkSession)
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("body"), F.xxhash64(text).alias("tag"))
     profiles = common.materialise(profile(rows, words), "profiles")
     level = rarity(profiles)
-    sets = profiles.where("n >= 0").drop("counts")
-    equal = sets.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    reps = equal.select(F.col("rep").alias("doc_id")).distinct()
-
-    lists = common.materialise(prefixes(rows.where("doc_id is not null"), level, words, share).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefixes")
-    index = lists.select("doc_id", "n", F.posexplode("one").alias("i", "token"))
+    sets = common.materialise(profiles.where("n >= 0").drop("counts"), "sets")
+    common.discard(profiles)
+    first = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("tag").alias("tag"), *[F.min_by(c, "tag").alias(c) for c in ("n", "hi", "lo")])
+    chosen = common.materialise(first, "chosen")
+    equal = chosen.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
+    reps = chosen.join(equal.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "tag")
+
+    lists = prefixes(rows.where("doc_id is not null"), level, words, share).join(reps, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id"])
+    lists = common.materialise(lists, "prefixes")
+    index = lists.select("doc_id", "tag", "n", F.posexplode("one").alias("i", "token"))
     # A pivot is the document where the n-gram comes first, then the least id: one decimal, so that hash aggregation can keep it.
     shift, half = F.lit("1" + "0" * 20).cast("decimal(21,0)"), F.lit("9223372036854775808").cast("decimal(20,0)")
     place = (F.col("i").cast("decimal(12,0)") * shift + (F.col("doc_id").cast("decimal(20,0)") + half)).cast("decimal(38,0)")
-    pivots = index.groupBy("token").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pivots = pivots.select("token", (F.col("p") % shift - half).cast("long").alias("pivot"), F.floor(F.col("p") / shift).cast("int").alias("j"))
+    pivots = index.withColumn("p", place).groupBy("token").agg(F.min("p").alias("p"), F.min_by("n", "p").alias("pivot_n"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    pivots = pivots.select("token", "pivot_n", (F.col("p") % shift - half).cast("long").alias("pivot"), F.floor(F.col("p") / shift).cast("int").alias("j"))
     shared = common.materialise(index.join(pivots, "token"), "shared")  # rows of n-grams that some other document has too
-    ids = shared.select("doc_id").distinct()
-    texts = common.materialise(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    ids = shared.select("doc_id", "tag").distinct()
+    texts = common.materialise(rows.join(ids, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id"]).drop("tag"), "texts")
+    return Index(words, share, sets, chosen, equal, lists, shared.drop("tag"), texts)
 
-    return Index(words, share, sets, equal, lists, shared, texts)
+
+def _open_pairs(index: Index, labelled: DataFrame) -> DataFrame:
+    """(a, b): candidates whose link would join two components; labelled is ``shared`` with each document's ``label``.
+
+    No link that matters is missed: a link between components shares an indexed n-gram, whose documents are all paired
+    if they are FEW, and else all compared with their one pivot c. For these, sets a and b share
+    |c| - missing(a) - missing(b) + (the differences they share) n-grams, so they need some number of differences in
+    common. Where that is none, they link whatever they differ in; then each of them links to the document with the
+    least need among those of like size, and those pairs are enough for their component. Else they share one among the
+    first (differences - need + 1) of each under any order; ORDERS of them are used, all with rare ones first.
+    """
+    num, den = index.share
+    whole, near = num + den, F.col("label")
+    open_ = labelled.groupBy("token").agg(F.min(near).alias("low"), F.max(near).alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high").select("token", "m")
+    rows = labelled.join(open_, "token")
+    few = rows.where(F.col("m") <= FEW)
+    left, right = (few.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "i", "n", "label")]) for side in "ab")
+    close = left.join(right, "token").where((F.col("a_label") < F.col("b_label")) & index.enough("a_n", "a_i", "b_n", "b_i")).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
+
+    many = rows.where((F.col("m") > FEW) & (F.col("doc_id") != F.col("pivot"))).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), "n", "pivot_n", "label").distinct()
+    many = many.join(differences(many, index.texts, index.words), ["a", "b"])
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit((1 + 1e-9) * float(np.log(max(den / num, 1.001)))))
+    need = num * F.col("n") + whole * F.col("missing")
+    many = common.materialise(many.select("a", "b", "label", "pivot_n", size.alias("size"), need.alias("need"), "differ"), "differences")
+    least = many.groupBy("b", "size").agg(F.min(F.struct("need", "a", "label")).alias("least")).select("b", F.col("size").alias("near"), "least")
+    around = many.select("a", "b", "label", "need", "pivot_n", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("near")).join(least, ["b", "near"])
+    over = F.col("need") + F.col("least.need") - whole * F.col("pivot_n")
+    sure = around.where((over <= 0) & (F.col("label") != F.col("least.label"))).select("a", F.col("least.a").alias("b"))
+    wanted = around.groupBy("a", "b").agg(F.greatest(F.lit(1), F.ceil(F.min(over) / whole)).alias("wanted"))
+
+    flat = many.select("a", "b", "label", "need", "pivot_n", F.size("differ").alias("size"), F.explode("differ").alias("gram"))
+    rare = flat.groupBy("b", "gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = flat.join(rare, ["b", "gram"]).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("label", "need", "pivot_n", "size")], F.collect_list(F.struct("k", "gram")).alias("grams"))
+    own = own.join(wanted, ["a", "b"]).withColumn("alone", F.col("size") - F.size("grams"))  # differences of no other document come first
+    own = own.withColumn("take", F.col("size") - F.col("wanted") + 1 - F.col("alone")).where("take > 0")
+
+    def rarest(seed: int) -> Column:
+        key = lambda g: F.struct(F.floor(F.log2(g["k"])), F.xxhash64(g["gram"], F.lit(seed)), g["gram"]) if seed else F.struct(g["k"], g["gram"])
+        return F.slice(F.transform(F.array_sort(F.transform("grams", key)), lambda g: g["gram"]), F.lit(1), F.col("take").cast("int"))
+
+    names = [f"order{i}" for i in range(ORDERS)]
+    facts = ["a", "label", "need", "pivot_n", "size", "alone"]
+    own = common.materialise(own.select("b", *facts, *[rarest(i).alias(n) for i, n in enumerate(names)]), "rarest")
+    own = own.select("b", *facts, *names[1:], F.posexplode("order0").alias("i", "gram"))
+    left, right = (own.select("b", "gram", *[F.col(c).alias(f"{side}_{c}") for c in (*facts, *names[1:], "i")]) for side in "ab")
+    both = F.greatest(F.lit(1), F.ceil((F.col("a_need") + F.col("b_need") - whole * F.col("a_pivot_n")) / whole))  # what this pair needs
+    reach = [F.col(f"{x}_size") - F.col(f"{x}_alone") - F.col(f"{x}_i") >= both for x in "ab"]
+    top = lambda x, n: F.slice(f"{x}_{n}", F.lit(1), F.greatest(F.lit(0), F.col(f"{x}_size") - both + 1 - F.col(f"{x}_alone")).cast("int"))
+    far = left.join(right, ["b", "gram"]).where((F.col("a_label") < F.col("b_label")) & reach[0] & reach[1])
+    for n in names[1:]:
+        far = far.where(F.arrays_overlap(top("a", n), top("b", n)))
+    far = far.select(F.col("a_a").alias("a"), F.col("b_a").alias("b"))
+    return close.unionByName(sure).unionByName(far).distinct()
 
 
 def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,38 +302,32 @@ def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 10
 
     Two documents link when their n-gram sets have Jaccard similarity share[0] / share[1] or more; component_id is
     the least id that links reach. A null or empty text has no n-grams and links with nothing, nor does a row without
-    an id (its component_id is null). Rows that repeat an id and a text are one document and all come back. Other
-    columns, whatever their names, are not read.
+    an id (its component_id is null). Rows that repeat an id are one document and all come back with its component; if
+    their texts differ, the text with the least hash stands for it. Texts of any length are read whole, in steps. An
+    empty table gives no rows. Other columns, whatever their names, are not read.
     """
     index = indexed(docs, words, share, ident, text)
-    sets, equal, lists, shared, enough, links_of = index.sets, index.equal, index.lists, index.shared, index.enough, index.links_of
-
-    n_of = lists.select(F.col("doc_id").alias("pivot"), F.col("n").alias("b_n"))
-    star = shared.where("doc_id <> pivot").join(n_of, "pivot").where(enough("n", "i", "b_n", "j")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = common.materialise(links_of(star), "links")
+    sets, shared = index.sets, index.shared
+    star = shared.where((F.col("doc_id") != F.col("pivot")) & index.enough("n", "i", "pivot_n", "j")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = common.materialise(index.links_of(star), "links")
     near = components(first)
+    labelled = common.materialise(shared.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+    pairs = _open_pairs(index, labelled).join(star.select(F.col("a").alias("x"), F.col("b").alias("y")), ((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))), "left_anti")
+    second = common.materialise(index.links_of(pairs), "links")
+    for done in (labelled, shared, index.texts, index.lists):
+        common.discard(done)
+    final = components(first.unionByName(second))
 
-    labelled = shared.select("token", "doc_id", "i", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    labelled = common.materialise(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    open_rows = labelled.join(mixed, "token", "left_semi")
-    left = open_rows.select("token", F.col("doc_id").alias("a"), F.col("i").alias("a_i"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
-    right = open_rows.select("token", F.col("doc_id").alias("b"), F.col("i").alias("b_i"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
-    pairs = left.join(right, "token").where((F.col("a_label") < F.col("b_label")) & enough("a_n", "a_i", "b_n", "b_i"))
-    pairs = pairs.select("a", "b").distinct().join(star.select(F.col("a").alias("x"), F.col("b").alias("y")), ((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))), "left_anti")
-    second = common.materialise(links_of(pairs), "links")
-    all_links = first.select("a", "b").unionByName(second.select("a", "b"))
-    final = components(all_links)
-
-    known = equal.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.col("n").alias("n_in"), F.coalesce("label", "rep").alias("component"))
-    out = sets.join(known, (sets["hi"] == known["hi"]) & (sets["lo"] == known["lo"]) & (sets["n"] == known["n_in"]), "left")
-    return out.select(sets["doc_id"].alias(ident), sets["n"].alias("n_shingles"), F.when(sets["doc_id"].isNotNull(), F.when(sets["n"] > 0, F.col("component")).otherwise(sets["doc_id"])).alias("component_id"))
+    known = index.equal.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n", F.coalesce("label", "rep").alias("component"))
+    of_id = index.chosen.join(known, ["hi", "lo", "n"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    return sets.select("doc_id", "n").join(of_id, "doc_id", "left").select(F.col("doc_id").alias(ident), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), ident: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the least id, and all rows without an id."""
-    heads = ngram_join(docs, words, share, ident).where(f"`{ident}` <=> component_id").select(F.col(ident).alias("__head")).distinct()
-    return docs.join(heads, F.col(ident).eqNullSafe(F.col("__head")), "left_semi")
+    heads = ngram_join(docs, words, share, ident).where(F.col(ident).eqNullSafe(F.col("component_id"))).select(F.col(ident).alias("head")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(heads, F.col(f"row.`{ident}`").cast("long").eqNullSafe(F.col("head")), "left_semi").select("row.*")
 
 
 def ngram_links(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,19 +350,14 @@ def ngram_links(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 1
         links = common.materialise(index.links_of(pairs), "links")
     final = components(links)
 
-    size = sets.where("n > 0 and doc_id is not null").select("doc_id", "hi", "lo", "n").distinct().groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    size = index.chosen.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     both = links.select(F.col("a").alias("node"), F.col("b").alias("rep")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("rep")))
     linked = both.join(size.select("rep", "size"), "rep").groupBy(F.col("node").alias("rep")).agg(F.sum("size").alias("others"))
     known = size.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "rep", "left")
-    known = known.select("hi", "lo", F.col("n").alias("n_in"), F.coalesce("label", "rep").alias("component"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    out = sets.join(known, (sets["hi"] == known["hi"]) & (sets["lo"] == known["lo"]) & (sets["n"] == known["n_in"]), "left")
-    there = sets["doc_id"].isNotNull()
-    return out.select(
-        sets["doc_id"].alias(ident),
-        sets["n"].alias("n_shingles"),
-        F.when(there, F.when(sets["n"] > 0, F.col("component")).otherwise(sets["doc_id"])).alias("component_id"),
-        F.when(there, F.coalesce("links", F.lit(0))).alias("n_links"),
-    )
+    known = known.select("hi", "lo", "n", F.coalesce("label", "rep").alias("component"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    of_id = index.chosen.join(known, ["hi", "lo", "n"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = sets.select("doc_id", "n").join(of_id, "doc_id", "left")
+    return out.select(F.col("doc_id").alias(ident), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
