@@ -157,7 +157,12 @@ class WordBpe:
 
 
 def encode_texts(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, ids array<int>) of every row; a null or empty text has no ids."""
+    """(ident, ids array<int>) of every row; a null or empty text has no ids.
+
+    Texts of any length are read whole, words of more than MERGED_SYMBOLS bytes in an array of their own. Rows that
+    repeat an id, or have none, all come back. An empty table gives no rows; other columns are not read.
+    """
+    common.ship(docs.sparkSession)
 
     def run(batches):
         coder = WordBpe.at(path)
@@ -174,6 +179,7 @@ def encode_texts(docs: DataFrame, path: str, ident: str = "doc_id", text: str =
 
 def decode_ids(tokens: DataFrame, path: str, ident: str = "doc_id") -> DataFrame:
     """(ident, ids, decoded) of rows with ids; null ids decode to the empty text."""
+    common.ship(tokens.sparkSession)
 
     def run(batches):
         coder = WordBpe.at(path)

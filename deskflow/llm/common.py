@@ -23,7 +23,9 @@ _LOCAL_SCRATCH: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # single-machine sessions such as the tests
+    if not base:  # sessions on one machine, such as the tests
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _LOCAL_SCRATCH:
             _LOCAL_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="deskflow-"))
         base = _LOCAL_SCRATCH[0]
@@ -63,8 +65,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose text has about ``most`` bytes; a longer text gets a run of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows whose text has about ``most`` bytes; a longer text gets a run of its own."""
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -72,7 +74,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterat
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + most, "right"))))
         yield batch.slice(at, end - at)
         at = end
 

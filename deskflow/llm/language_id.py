@@ -18,7 +18,8 @@ from deskflow.llm import common
 
 GRAM, PROBES = 4, 3
 DOCS_PER_LANGUAGE = 4000  # expected size of the bounded sample that the filters are fitted on
-LEAST_RATE, LEAST_SHARE = 3e-6, 0.15  # an n-gram belongs to a language from this rate and share of its highest rate on
+LEAST_RATE = 3e-6  # a language contains an n-gram that it has at this rate or more, at most 333,333 n-grams; n-grams met once don't count
+MOST_CELLS = 1 << 22
 UNKNOWN = "und"
 _TABLES: list[np.ndarray] = []
 
@@ -65,13 +66,10 @@ class Filters:
     false: np.ndarray  # rate of false positives of each language
     common: int  # the language of the most documents
 
-    def places(self, hashes: np.ndarray) -> list[np.ndarray]:
-        bits = np.uint64(len(self.cells) - 1)
-        return [((hashes >> np.uint64(20 * k)) * np.uint64(2 * k + 1) & bits).astype(np.int64) for k in range(PROBES)]
-
     def masks(self, hashes: np.ndarray) -> np.ndarray:
+        """The languages whose filters hold each n-gram, as bits."""
         found = None
-        for place in self.places(hashes):
+        for place in places(hashes, len(self.cells)):
             found = self.cells[place] if found is None else found & self.cells[place]
         return found
 
@@ -93,19 +91,40 @@ class Filters:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
-def build(rows: list[tuple[str, int, float]], docs: dict[str, int]) -> Filters:
-    """rows: (language, n-gram hash, its rate in the language); docs: how many documents each language has."""
-    names = sorted({r[0] for r in rows})
-    at = {l: i for i, l in enumerate(names)}
-    wide = max(1, -(-len(names) // 64))
-    cells = np.zeros((1 << max(12, int(8 * len(rows)).bit_length()), wide), np.uint64)
-    out = Filters(names, cells, np.zeros(len(names)), max(range(len(names)), key=lambda i: (docs.get(names[i], 0), -i), default=0))
-    if rows:
-        hashes, lang = np.array([r[1] for r in rows], np.int64).view(np.uint64), np.array([at[r[0]] for r in rows])
-        for place in out.places(hashes):
-            np.bitwise_or.at(cells, (place, lang // 64), np.uint64(1) << (lang % 64).astype(np.uint64))
-        out.false = np.array([np.mean(cells[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)) ** PROBES for k in range(len(names))])
-    return out
+def places(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The cells that each n-gram hashes to; ``cells`` is a power of two."""
+    bits = np.uint64(cells - 1)
+    return [((hashes >> np.uint64(20 * k)) * np.uint64(2 * k + 1) & bits).astype(np.int64) for k in range(PROBES)]
+
+
+def build(grams: DataFrame, docs: dict[str, int]) -> Filters:
+    """Filters of (lang, gram): tasks set bits, equal cells are combined by OR, and the cells that are set come as columns.
+
+    There are about 8 cells for an n-gram, at most MOST_CELLS; beyond that filters are fuller, which the correction for
+    false positives takes into account. So what reaches the driver is bounded whatever the number of n-grams.
+    """
+    names = sorted(docs)
+    at, wide = {l: i for i, l in enumerate(names)}, max(1, -(-len(names) // 64))
+    cells = 1 << max(12, min(MOST_CELLS, 8 * grams.count()).bit_length())
+
+    def run(batches):
+        for batch in batches:
+            hashes = batch.column("gram").to_numpy().view(np.uint64)
+            lang = np.array([at[l] for l in batch.column("lang").to_pylist()], np.int64)
+            cell = np.concatenate(places(hashes, cells)) * wide + np.tile(lang // 64, PROBES)
+            mask = np.tile(np.uint64(1) << (lang % 64).astype(np.uint64), PROBES)
+            order = np.argsort(cell, kind="stable")
+            cell, mask = cell[order], mask[order]
+            begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+            masks = np.bitwise_or.reduceat(mask, begin) if len(begin) else mask
+            yield pa.RecordBatch.from_arrays([pa.array(cell[begin]), pa.array(masks.view(np.int64))], names=["cell", "mask"])
+
+    found = grams.select("lang", "gram").mapInArrow(run, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros(cells * wide, np.uint64)
+    table[found["cell"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    table = table.reshape(cells, wide)
+    false = [np.mean(table[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)) ** PROBES for k in range(len(names))]
+    return Filters(names, table, np.array(false), max(range(len(names)), key=lambda i: (docs[names[i]], -i), default=0))
 
 
 def remainder(ident: Column, of: int) -> Column:
@@ -117,12 +136,13 @@ def fit(labelled: DataFrame, sample: int = DOCS_PER_LANGUAGE) -> Filters:
     """Fit filters on rows of (ident, body, lang); rows without a language are left out.
 
     About ``sample`` documents of each language, chosen by a hash of id, are counted. What comes to the driver is one
-    row per language and the n-grams of that bounded sample.
+    row per language and the cells of the filters.
     """
     rows = labelled.where("lang is not null")
+    common.ship(labelled.sparkSession)
     docs = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not docs:
-        return build([], {})
+        return Filters([], np.zeros((1 << 12, 1), np.uint64), np.zeros(0), 0)
     share = F.create_map(*[x for l, n in docs.items() for x in (F.lit(l), F.lit(min(1.0, sample / n)))])
     draw = F.pmod(F.xxhash64(F.col("ident").cast("string"), F.lit(4)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = rows.where(draw < share[F.col("lang")])
@@ -139,18 +159,19 @@ def fit(labelled: DataFrame, sample: int = DOCS_PER_LANGUAGE) -> Filters:
     counted = chosen.select("ident", "body", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = common.materialise(counted, "grams")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counted.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
-    tops = rated.groupBy("gram").agg(F.max("rate").alias("top"))
-    rated = rated.join(tops, "gram").where((F.col("rate") >= LEAST_RATE) & (F.col("n") >= 2) & (F.col("rate") >= F.col("top") * LEAST_SHARE))
-    return build([(r.lang, r.gram, r.rate) for r in rated.select("lang", "gram", "rate").orderBy("lang", "gram").collect()], docs)
+    held = counted.join(totals, "lang").where((F.col("n") >= 2) & (F.col("n") >= F.col("total") * LEAST_RATE))
+    return build(common.materialise(held.select("lang", "gram"), "held"), docs)
 
 
 def identify(docs: DataFrame, filters: Filters, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, lang_pred, score) of every row, from its text alone.
+    """(ident, lang_pred, score) of every row, from its whole text alone.
 
     A null text and one without a letter are ``und`` with score 0. A text whose n-grams no filter knows gets the most
-    frequent language, with score 0. Equal counts go to the language that sorts first.
+    frequent language, with score 0. Equal counts go to the language that sorts first. Rows that repeat an id all come
+    back, equal texts with equal results. An empty table gives no rows; without labelled rows all texts are ``und``.
+    Other columns, whatever their names, are not read.
     """
+    common.ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -168,18 +189,25 @@ def learn(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
     return fit(labelled.where(remainder(F.col("ident"), 3) != 1))
 
 
-def keep_known(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text is in some learned language, with all their columns and without a shuffle."""
-    filters = learn(docs, ident, text, lang)
-
+def _accepted(filters: Filters, least: float | None):
     @F.arrow_udf("boolean")
-    def known(texts: pa.Array) -> pa.Array:
+    def accepted(texts: pa.Array) -> pa.Array:
         batch, found = pa.RecordBatch.from_arrays([texts], names=["body"]), []
         for part in common.slices(batch, "body"):
-            found += [p != UNKNOWN for p in filters.predict([t or "" for t in part.column("body").to_pylist()])[0]]
+            lang, score = filters.predict([t or "" for t in part.column("body").to_pylist()])
+            found += [p != UNKNOWN and (least is None or s > least) for p, s in zip(lang, score.tolist(), strict=True)]
         return pa.array(found, pa.bool_())
 
-    return docs.where(known(F.col(text)))
+    return accepted
+
+
+def keep_known(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text is in some learned language, with all their columns and without a shuffle.
+
+    With ``least``, the score must exceed it too; 0 rejects texts none of whose n-grams any language contains, which are
+    of no learned language.
+    """
+    return docs.where(_accepted(learn(docs, ident, text, lang), least)(F.col(text)))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

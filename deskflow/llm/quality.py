@@ -21,6 +21,7 @@ WORDS, BUCKETS, RANK = 2048, 24, 8
 SAMPLE = 8000  # expected number of labelled rows that the model is fitted on
 EPOCHS, RATE, DECAY, SEED = 12, 0.03, 1e-5, 11
 STATS = 20
+ROWS = 500  # texts whose inputs, about 8 KB each, are held at once
 
 
 def _share(raw: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -135,7 +136,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
 
     def run(batches):
         for batch in batches:
-            for part in common.slices(batch, "body"):
+            for part in common.slices(batch, "body", rows=ROWS):
                 bag, stats, bucket = features(part.column("body"))
                 rows = []
                 for words, s in zip(bag, stats, strict=True):
@@ -154,7 +155,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ident: str = "doc_id", text: str = "text") -> Machine:
-    """Fit on about ``sample`` labelled rows whose remainder modulo 4 is not 2, chosen by a hash of the id."""
+    """Fit on about ``sample`` labelled rows whose remainder modulo 4 is not 2, chosen by a hash of the id.
+
+    Labels other than 0 and 1, or without an id, are left out; of several labels of an id the greatest counts. Without
+    any label every score is 0.5.
+    """
+    common.ship(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("string").alias("of"), F.col("quality").cast("int").alias("label"))
     marked = marked.where(F.col("of").isNotNull() & F.col("label").isin(0, 1) & (remainder(F.col("of"), 4) != 2))
     n = marked.count()
@@ -166,11 +172,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ident: str =
 
 
 def score(docs: DataFrame, machine: Machine, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, score) of every row, from its whole text; null and empty texts get the score of the empty text."""
+    """(ident, score) of every row, from its whole text and nothing else.
+
+    Null and empty texts get the score of the empty text; texts of any length are read whole. Rows that repeat an id all
+    come back, equal texts with equal scores; a null id comes back null. An empty table gives no rows. Other columns,
+    whatever their names, are not read.
+    """
+    common.ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part in common.slices(batch, "body"):
+            for part in common.slices(batch, "body", rows=ROWS):
                 yield pa.RecordBatch.from_arrays([part.column("ident"), pa.array(machine.scores(part.column("body")))], names=[ident, "score"])
 
     kind = dict(docs.dtypes)[ident]

@@ -19,7 +19,12 @@ BLOCK = 512  # lengths of one block
 
 
 def token_lengths(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, n_tokens) of every row; a null text is empty and has 0 tokens."""
+    """(ident, n_tokens) of every row; a null text is empty and has 0 tokens.
+
+    Texts of any length are encoded whole. Rows that repeat an id, or have none, all come back. An empty table gives no
+    rows; other columns are not read.
+    """
+    common.ship(docs.sparkSession)
 
     def run(batches):
         coder = ByteEncoder.at(path)

@@ -2,11 +2,12 @@
 
 1. Ids of every document (with an end id) are written to a scratch table, in as few bytes as the vocabulary needs.
 2. Their counts over all documents, at most one row per id, become one table of frequencies that sum to 2**20.
-3. Documents are dealt by ranges of their id and sorted. A task packs whole documents into blocks of about 32,768
-   ids. Each block is coded by itself over 32 interleaved lanes (64-bit states, 32-bit words) with checkpoints of
+3. Documents are dealt by ranges of their id and sorted. A task fills blocks of 32,768 ids; a document that doesn't fit
+   goes on in the next ones, so a text of any length is many blocks of one length. Each block is coded by itself over 32 interleaved lanes (64-bit states, 32-bit words) with checkpoints of
    all lane states every 128 steps and a CRC of its ids. Blocks are rows of Parquet files, so Spark's commit protocol
    covers them and any store that Spark can write to will do.
-4. Reading decodes blocks independently; all stretches between checkpoints of many blocks advance side by side.
+4. Reading decodes blocks independently; all stretches between checkpoints of many blocks advance side by side. The
+   CRCs of a document's parts, moved on by the bytes that follow, add up to its own in any order.
 """
 
 from __future__ import annotations
@@ -136,6 +137,26 @@ class Coder:
         return result
 
 
+def crc_after(crc: int, zeros: int) -> int:
+    """The CRC-32 (reflected polynomial of zlib) of a message moved on by ``zeros`` bytes: ``crc(a + b)`` is
+    ``crc_after(crc(a), len(b)) ^ crc(b)``. Multiplies by x**(8 * zeros), by repeated squaring."""
+
+    def times(a: int, b: int) -> int:
+        out = 0
+        for bit in range(31, -1, -1):  # bit 31 stands for x**0
+            if b >> bit & 1:
+                out ^= a
+            a = a >> 1 ^ (0xEDB88320 if a & 1 else 0)
+        return out
+
+    power = 0x00800000  # x**8
+    while zeros:
+        if zeros & 1:
+            crc = times(crc, power)
+        power, zeros = times(power, power), zeros >> 1
+    return crc
+
+
 def token_table(docs: DataFrame, path: str, end_id: int = 0, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row, with the end id after each document's ids; a null text has the end id alone."""
 
@@ -169,53 +190,51 @@ def id_counts(tokens: DataFrame, width: int, size: int) -> dict[int, int]:
 def write_blocks(tokens: DataFrame, freq: np.ndarray, width: int, path: str) -> None:
     """Write blocks of ids in ascending doc_id order (null last) to ``path``; shards ascend with the ids too."""
     packed = [freq]
+    lists = ["doc_ids", "sizes", "totals", "offsets"]  # of each document's part: its ids, those of the document, those before the part
 
     def run(batches):
         coder = Coder(packed[0])
-        shard, block, first, pending, held, n = 0, 0, 0, [], 0, 0
-        ids, sizes, now = [], [], []
+        shard, block, first, n = 0, 0, 0, 0
+        parts, now, pending = [], [], []
 
         def close():
-            nonlocal block, first, held, n
-            if not now:
-                return
-            pending.append((shard, block, first, n, list(ids), list(sizes), np.concatenate(now)))
-            block, first, held, n = block + 1, first + n, held + n, 0
-            now.clear(), ids.clear(), sizes.clear()
+            nonlocal block, first, n
+            pending.append((shard, block, first, n, *map(list, zip(*parts, strict=True)), np.concatenate(now)))
+            block, first, n = block + 1, first + n, 0
+            parts.clear(), now.clear()
 
         def flush():
-            nonlocal held
             rows, coded = list(pending), coder.encode([p[-1] for p in pending])
             pending.clear()
-            held = 0
-            columns = list(zip(*[r[:6] for r in rows], strict=True)) if rows else [[]] * 6
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([*[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], pa.array(coded, pa.binary())], names=["shard", "block", "first", "n_ids", "doc_ids", "sizes", "coded"])
+            kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 4]
+            return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], pa.array(coded, pa.binary())], names=["shard", "block", "first", "n_ids", *lists, "coded"])
 
         for batch in batches:
-            for ident, part, raw in zip(batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                shard = part
-                own = np.frombuffer(raw, f"<u{width}")
-                now.append(own)
-                ids.append(ident)
-                sizes.append(len(own))
-                n += len(own)
-                if n >= BLOCK_IDS:
-                    close()
-                if held >= GROUP_IDS:
-                    yield flush()
-        close()
+            for ident, shard, raw in zip(batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), batch.column("ids"), strict=True):  # noqa: B007, B020
+                own, at = np.frombuffer(raw.as_buffer(), f"<u{width}"), 0
+                while at < len(own):
+                    take = min(len(own) - at, BLOCK_IDS - n)
+                    parts.append((ident, take, len(own), at))
+                    now.append(own[at : at + take])
+                    at, n = at + take, n + take
+                    if n == BLOCK_IDS:
+                        close()
+                        if len(pending) * BLOCK_IDS >= GROUP_IDS:
+                            yield flush()
+        if parts:
+            close()
         if pending:
             yield flush()
 
-    dealt = tokens.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
+    dealt = tokens.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.col("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.col("ids"))
     dealt = dealt.withColumn("shard", F.spark_partition_id())
-    dealt.mapInArrow(run, "shard int, block long, first long, n_ids long, doc_ids array<long>, sizes array<long>, coded binary").write.option("compression", "none").parquet(path)
+    schema = "shard int, block long, first long, n_ids long, doc_ids array<long>, sizes array<long>, totals array<long>, offsets array<long>, coded binary"
+    dealt.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str, freq: np.ndarray) -> DataFrame:
     """Decode the files: (doc_id, start, n_tokens, ids_crc32), ``start`` being the ids of all documents before."""
-    files = spark.read.parquet(path)
+    files = common.ship(spark).read.parquet(path)
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("in_shard"))  # a row per file, not per document
     shards = shards.select(F.col("shard").alias("of"), (F.sum("in_shard").over(Window.orderBy("shard")) - F.col("in_shard")).alias("base"))
     packed = [freq]
@@ -226,23 +245,28 @@ def read_blocks(spark: SparkSession, path: str, freq: np.ndarray) -> DataFrame:
             for part in common.slices(batch, "coded"):
                 rows = []
                 blocks = coder.decode(part.column("coded").to_pylist())
-                for ids, first, shard, names, sizes in zip(blocks, *[part.column(c).to_pylist() for c in ("first", "shard", "doc_ids", "sizes")], strict=True):
-                    ends = np.cumsum(sizes)
-                    for name, end, n in zip(names, ends.tolist(), sizes, strict=True):
-                        rows.append((name, shard, first + end - n, n, zlib.crc32(ids[end - n : end].astype("<u4").tobytes())))
+                for ids, first, shard, *lists in zip(blocks, *[part.column(c).to_pylist() for c in ("first", "shard", "doc_ids", "sizes", "totals", "offsets")], strict=True):
+                    at = 0
+                    for name, n, total, offset in zip(*lists, strict=True):
+                        crc = zlib.crc32(ids[at : at + n].astype("<u4").tobytes())
+                        rows.append((name, shard, first + at - offset, n, crc_after(crc, 4 * (total - offset - n)) if offset + n < total else crc))
+                        at += n
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "shard", "inside", "n_tokens", "ids_crc32"])
 
-    decoded = files.select("shard", "first", "doc_ids", "sizes", "coded").mapInArrow(run, "doc_id long, shard int, inside long, n_tokens long, ids_crc32 long")
-    return decoded.join(shards, decoded["shard"] == shards["of"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    decoded = files.select("shard", "first", "doc_ids", "sizes", "totals", "offsets", "coded").mapInArrow(run, "doc_id long, shard int, inside long, n_tokens long, ids_crc32 long")
+    whole = decoded.groupBy("doc_id", "shard", "inside").agg(F.sum("n_tokens").alias("n_tokens"), F.expr("bit_xor(ids_crc32)").alias("ids_crc32"))
+    return whole.join(shards, whole["shard"] == shards["of"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 0, ident: str = "doc_id", text: str = "text") -> tuple[str, np.ndarray]:
     """Write the ids of ``docs`` as block files; returns their folder and the table of frequencies.
 
-    Ids of documents are integers; rows that repeat an id stay next to each other. No rows give no blocks.
+    Ids of documents are integers; a null id comes last. Rows that repeat an id all come, next to each other, in order of
+    their ids' bytes. A null or empty text has the end id alone; texts of any length are cut over blocks. No rows give no
+    blocks. Other columns, whatever their names, are not read.
     """
-    spark = docs.sparkSession
+    spark = common.ship(docs.sparkSession)
     coder = ByteEncoder.at(path)
     tokens = common.materialise(token_table(docs, path, end_id, ident, text), "ids")
     freq = frequencies(id_counts(tokens, coder.dtype.itemsize, coder.size), coder.size)
