@@ -1,7 +1,11 @@
 """Media columns as ISO base media containers (ISO/IEC 14496-12): write, walk and describe without decoding payloads.
 
 ``mux`` stores bytes as unsigned 8-bit mono samples in chunks; ``boxes`` walks nested boxes; ``describe`` decodes
-the sample tables into codec, duration and keyframe byte ranges; ``payload`` copies the samples those tables name.
+the sample tables, or the runs of fragments, into codec, duration and keyframe byte ranges, which ``with_media`` stores
+as columns next to the container; ``payload`` copies the samples those tables name.
+
+A damaged container is read as far as its boxes are whole: a box that ends outside the one around it ends that walk, a
+table cut short counts as far as it goes, and samples that lie outside the file are left out. Nothing raises.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from deskflow.llm import common
 
 UNIT, RATE, GROUP = 64, 8000, 16  # bytes of a sample, samples of a second, samples from one keyframe to the next
+DEEPEST = 16  # boxes inside each other; what lies deeper isn't looked at
+MOST_SAMPLES = 1 << 28  # samples that a table without a row for each may name
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -64,61 +70,147 @@ def mux(data: bytes, codec: bytes = b"raw ") -> bytes:
     return b"".join([head, body, data, box(b"moov", mvhd, box(b"trak", tkhd, mdia))])
 
 
-def boxes(data: memoryview, at: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path of kinds, begin, end of the content) of every box, outer before inner; a broken size ends the walk."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+def boxes(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path of kinds, begin, end of the content) of every box, outer before inner; a broken size ends the walk of its box."""
+    left: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while left:
+        at, end, path = left.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         begin = at + 8
         if size == 1 and at + 16 <= end:
             size, begin = struct.unpack_from(">Q", data, at + 8)[0], at + 16
         stop = end if size == 0 else at + size
         if stop > end or stop < begin:
-            return
+            continue
         yield (*path, kind), begin, stop
-        if kind in NESTED:
-            yield from boxes(data, begin, stop, (*path, kind))
-        at = stop
+        left.append((stop, end, path))
+        if kind in NESTED and len(path) < DEEPEST:
+            left.append((begin, stop, (*path, kind)))
+
+
+def _number(leaf: memoryview, at: int, width: int = 4) -> int:
+    """A big-endian number, 0 where the box is too short."""
+    return int.from_bytes(leaf[at : at + width], "big") if at + width <= len(leaf) else 0
+
+
+def _table(leaf: memoryview, at: int, n: int, width: int = 1, kind: str = ">u4") -> np.ndarray:
+    """Up to ``n`` rows of ``width`` numbers, as many as the box has whole."""
+    size = np.dtype(kind).itemsize * width
+    n = max(0, min(n, (len(leaf) - at) // size))
+    out = np.frombuffer(leaf[at : at + n * size], kind).astype(np.int64)
+    return out.reshape(-1, width) if width > 1 else out
+
+
+def _sizes(kind: bytes, leaf: memoryview) -> np.ndarray:
+    if kind == b"stsz":
+        size, n = _number(leaf, 4), _number(leaf, 8)
+        return np.full(min(n, MOST_SAMPLES), size, np.int64) if size else _table(leaf, 12, n)
+    bits, n = _number(leaf, 7, 1), _number(leaf, 8)  # compact sizes of 4, 8 or 16 bits
+    if bits == 4:
+        raw = _table(leaf, 12, (n + 1) // 2, kind="u1")
+        return np.stack([raw >> 4, raw & 15], 1).ravel()[:n]
+    return _table(leaf, 12, n, kind="u1" if bits == 8 else ">u2")
+
+
+def _run(leaf: memoryview, t: dict, base: int) -> None:
+    """Add the samples of a fragment's run; what it doesn't give comes from the fragment's, then the track's defaults."""
+    flags, n = _number(leaf, 1, 3), _number(leaf, 4)
+    at, given = 8, {}
+    if flags & 1:
+        base, at = base + struct.unpack_from(">i", leaf, at)[0] if at + 4 <= len(leaf) else base, at + 4
+    first = _number(leaf, at) if flags & 4 else None
+    at += 4 if flags & 4 else 0
+    names = [name for name, bit in (("duration", 0x100), ("size", 0x200), ("flags", 0x400), ("shift", 0x800)) if flags & bit]
+    n = min(n, (len(leaf) - at) // (4 * len(names)) if names else MOST_SAMPLES)
+    rows = _table(leaf, at, n, len(names)).reshape(n, len(names)) if names else np.zeros((n, 0), np.int64)
+    for i, name in enumerate(names):
+        given[name] = rows[:, i]
+    each = {k: given.get(k, np.full(n, t["now"].get(k, 0), np.int64)) for k in ("duration", "size", "flags")}
+    if first is not None and n:
+        each["flags"] = np.r_[first, each["flags"][1:]]
+    t["runs"].append((base + np.cumsum(each["size"]) - each["size"], each["size"], each["flags"] & 0x10000 == 0))
+    t["ran"] = t.get("ran", 0) + int(each["duration"].sum())
 
 
 def tracks(media: bytes) -> list[dict]:
-    """For each track: codec, timescale, duration, and where its samples are (offsets, sizes, durations, keyframes)."""
-    view, found = memoryview(media), []
+    """For each track: codec, timescale, duration, seconds, and where its samples are (offsets, sizes, keyframes).
+
+    An edit list gives the seconds that are presented; without one they are the track's own duration.
+    """
+    view, found, movie, now, at_moof = memoryview(media), [], 0, None, 0
     for path, a, b in boxes(view):
         kind, leaf = path[-1], view[a:b]
+        if kind == b"mvhd":
+            movie = _number(leaf, 20 if leaf[:1] == b"\1" else 12)
+        elif kind == b"moof":
+            at_moof = a - 8
+        elif kind == b"trex":
+            for t in found:
+                if t.get("id") == _number(leaf, 4):
+                    t["default"] = {"duration": _number(leaf, 12), "size": _number(leaf, 16), "flags": _number(leaf, 20)}
+        elif kind == b"tfhd":
+            flags, at = _number(leaf, 1, 3), 8
+            now = next((t for t in found if t.get("id") == _number(leaf, 4)), None)
+            if now is not None:
+                now["base"], now["now"] = at_moof, dict(now.get("default", {}))
+                for bit, name, width in ((1, "base", 8), (2, None, 4), (8, "duration", 4), (16, "size", 4), (32, "flags", 4)):
+                    if flags & bit:
+                        if name == "base":
+                            now["base"] = _number(leaf, at, 8)
+                        elif name:
+                            now["now"][name] = _number(leaf, at, width)
+                        at += width
+        elif kind == b"trun" and now is not None:
+            before = now["runs"][-1] if now["runs"] and not _number(leaf, 1, 3) & 1 and now.get("of") == at_moof else None
+            _run(leaf, now, int(before[0][-1] + before[1][-1]) if before and len(before[0]) else now["base"])
+            now["of"] = at_moof
         if kind == b"trak":
-            found.append({})
+            found.append({"runs": []})
         if not found or b"trak" not in path:
             continue
         t = found[-1]
-        if kind == b"mdhd":
-            t["scale"], t["duration"] = struct.unpack_from(">IQ", leaf, 20) if leaf[0] == 1 else struct.unpack_from(">II", leaf, 12)
+        if kind == b"tkhd":
+            t["id"] = _number(leaf, 20 if leaf[:1] == b"\1" else 12)
+        elif kind == b"mdhd":
+            wide = leaf[:1] == b"\1"
+            t["scale"], t["duration"] = _number(leaf, 20 if wide else 12), _number(leaf, 24 if wide else 16, 8 if wide else 4)
+        elif kind == b"elst":
+            wide = leaf[:1] == b"\1"
+            step = 20 if wide else 12
+            n = min(_number(leaf, 4), max(0, len(leaf) - 8) // step)
+            t["edits"] = sum(_number(leaf, 8 + i * step, 8 if wide else 4) for i in range(n))
         elif kind == b"stsd":
-            t["codec"] = bytes(leaf[12:16]).decode("latin-1")
-        elif kind == b"stsz":
-            size, n = struct.unpack_from(">II", leaf, 4)
-            t["sizes"] = np.full(n, size, np.int64) if size else np.frombuffer(leaf[12 : 12 + 4 * n], ">u4").astype(np.int64)
+            t["codec"] = bytes(leaf[12:16]).decode("latin-1") or "none"
+        elif kind in (b"stsz", b"stz2"):
+            t["sizes"] = _sizes(kind, leaf)
         elif kind in (b"stco", b"co64"):
-            wide = kind == b"co64"
-            n = struct.unpack_from(">I", leaf, 4)[0]
-            t["chunks"] = np.frombuffer(leaf[8 : 8 + (8 if wide else 4) * n], ">u8" if wide else ">u4").astype(np.int64)
-        elif kind in (b"stsc", b"stts"):
-            width = 3 if kind == b"stsc" else 2
-            n = struct.unpack_from(">I", leaf, 4)[0]
-            t[kind.decode()] = np.frombuffer(leaf[8 : 8 + 4 * width * n], ">u4").astype(np.int64).reshape(-1, width)
+            t["chunks"] = _table(leaf, 8, _number(leaf, 4), kind=">u8" if kind == b"co64" else ">u4")
+        elif kind == b"stsc":
+            t["stsc"] = _table(leaf, 8, _number(leaf, 4), 3)
         elif kind == b"stss":
-            n = struct.unpack_from(">I", leaf, 4)[0]
-            t["keys"] = np.frombuffer(leaf[8 : 8 + 4 * n], ">u4").astype(np.int64) - 1
+            t["keys"] = _table(leaf, 8, _number(leaf, 4)) - 1
     for t in found:
-        sizes, chunks, runs = t.get("sizes", np.zeros(0, np.int64)), t.get("chunks", np.zeros(0, np.int64)), t.get("stsc", np.zeros((0, 3), np.int64))
+        none = np.zeros(0, np.int64)
+        sizes, chunks = t.get("sizes", none), t.get("chunks", none)
         each = np.zeros(len(chunks), np.int64)
-        for first, count, _ in runs:  # an entry holds from its first chunk on
-            each[first - 1 :] = count
-        chunk = np.repeat(np.arange(len(chunks)), each)[: len(sizes)]
+        for first, count, _ in t.get("stsc", np.zeros((0, 3), np.int64)).tolist():  # an entry holds from its first chunk on
+            each[max(first, 1) - 1 :] = min(count, len(sizes))
+        ends = np.minimum(np.cumsum(each), len(sizes))
+        each = np.diff(np.r_[0, ends])
+        chunk = np.repeat(np.arange(len(chunks)), each)
+        sizes = sizes[: len(chunk)]
         before = np.cumsum(sizes) - sizes
-        opens = np.r_[0, np.cumsum(each)[:-1]] if len(each) else each
-        t["offsets"] = chunks[chunk] + before[: len(chunk)] - before[np.minimum(opens[chunk], len(sizes) - 1)] if len(chunk) else np.zeros(0, np.int64)
-        t["keys"] = t.get("keys", np.arange(len(sizes)))
+        offsets = chunks[chunk] + before - before[(ends - each)[chunk]] if len(chunk) else none
+        is_key = np.zeros(len(sizes), bool)
+        keys = t.get("keys", np.arange(len(sizes)))
+        is_key[keys[(keys >= 0) & (keys < len(sizes))]] = True
+        offsets, sizes, is_key = (np.concatenate([x, *[r[i] for r in t["runs"]]]) for i, x in enumerate((offsets, sizes, is_key)))
+        inside = (offsets >= 0) & (offsets + sizes <= len(view))
+        t["offsets"], t["sizes"], t["keys"] = offsets[inside], sizes[inside], np.flatnonzero(is_key[inside])
+        own = (t.get("duration", 0) + t.get("ran", 0)) / max(1, t.get("scale", 1))
+        t["seconds"] = t["edits"] / movie if t.get("edits") and movie else own
     return found
 
 
@@ -126,7 +218,7 @@ def payload(media: bytes) -> bytes:
     """The bytes of all samples, in order, as the tables give them."""
     view, out = memoryview(media), []
     for t in tracks(media):
-        off, size = t["offsets"], t["sizes"][: len(t["offsets"])]
+        off, size = t["offsets"], t["sizes"]
         if len(off):
             breaks = np.flatnonzero(np.r_[True, off[1:] != off[:-1] + size[:-1]])
             for a, b in zip(off[breaks], np.r_[(off + size)[breaks[1:] - 1], off[-1] + size[-1]], strict=True):
@@ -135,51 +227,70 @@ def payload(media: bytes) -> bytes:
 
 
 def describe(media: bytes) -> tuple[str, float, list[tuple[int, int]]]:
-    """Codec, duration in seconds and byte ranges from each keyframe to the next, of the first track."""
+    """Codec, duration in seconds and byte ranges from each keyframe to the next, of the first track; ``none`` without one."""
     found = tracks(media)
     if not found:
         return "none", 0.0, []
     t = found[0]
-    ends = t["offsets"] + t["sizes"][: len(t["offsets"])]
-    keys = t["keys"][t["keys"] < len(ends)]
+    ends, keys = t["offsets"] + t["sizes"], t["keys"]
     stops = np.r_[keys[1:], len(ends)] - 1 if len(keys) else keys
-    return t.get("codec", "none"), t.get("duration", 0) / max(1, t.get("scale", 1)), [(int(t["offsets"][k]), int(ends[s])) for k, s in zip(keys, stops, strict=True)]
+    return t.get("codec", "none"), t["seconds"], list(zip(t["offsets"][keys].tolist(), ends[stops].tolist(), strict=True))
 
 
-def feature(media: bytes) -> str:
-    codec, seconds, ranges = describe(media)
+def line(codec: str, seconds: float, ranges: list[tuple[int, int]]) -> str:
+    """What ``describe`` gives, as text."""
     spans = np.array(ranges, np.int64).reshape(-1, 2)
     return f"codec={codec.strip()};seconds={seconds:.6f};keyframes={len(ranges)};first={ranges[0] if ranges else None};last={ranges[-1] if ranges else None};ranges={zlib.crc32(spans.astype('<i8').tobytes()):08x}"
 
 
+def feature(media: bytes) -> str:
+    return line(*describe(media))
+
+
+RANGES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
 def with_media(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, n_bytes, media): the container of each text. A null text is empty and gets 64 zero bytes."""
+    """(ident, n_bytes, media, codec, seconds, keyframes): the container of each text and what its tables say.
+
+    ``keyframes`` are byte ranges inside ``media``, from each keyframe to the next, so a reader can fetch one without the
+    rest. A null text is empty and gets 64 zero bytes; texts of any length become one container. Rows that repeat an id,
+    or have none, all come back. An empty table gives no rows; other columns are not read.
+    """
+    common.ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "body", 16_000_000):
                 raw = [(t or "").encode() for t in part.column("body").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("ident"), pa.array([len(r) for r in raw], pa.int64()), pa.array([mux(pad(r)) for r in raw], pa.binary())], names=[ident, "n_bytes", "media"])
+                stored = [mux(pad(r)) for r in raw]
+                said = [describe(m) for m in stored]
+                columns = [pa.array([len(r) for r in raw], pa.int64()), pa.array(stored, pa.binary()), pa.array([d[0] for d in said]), pa.array([d[1] for d in said], pa.float64())]
+                ranges = pa.array([[{"begin": a, "end": b} for a, b in d[2]] for d in said], RANGES)
+                yield pa.RecordBatch.from_arrays([part.column("ident"), *columns, ranges], names=[ident, "n_bytes", "media", "codec", "seconds", "keyframes"])
 
     kind = dict(docs.dtypes)[ident]
-    return docs.selectExpr(f"`{ident}` as ident", f"`{text}` as body").mapInArrow(run, f"`{ident}` {kind}, n_bytes long, media binary")
+    schema = f"`{ident}` {kind}, n_bytes long, media binary, codec string, seconds double, keyframes array<struct<begin: long, end: long>>"
+    return docs.selectExpr(f"`{ident}` as ident", f"`{text}` as body").mapInArrow(run, schema)
 
 
 def media_digests(media: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """Read containers back and return digests of their payloads and what their tables say."""
+    """Read containers back and return digests of their payloads, and one line of the columns that describe them."""
+    common.ship(media.sparkSession)
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "media", 16_000_000):
                 rows = []
-                for stored in part.column("media").to_pylist():
+                for stored, codec, seconds, keyframes in zip(*[part.column(c).to_pylist() for c in ("media", "codec", "seconds", "keyframes")], strict=True):
                     data = payload(stored)
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(stored)))
+                    said = line(codec, seconds, [(k["begin"], k["end"]) for k in keyframes])
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), said))
                 columns = [pa.array([r[i] for r in rows], pa.string() if i in (1, 4, 5) else pa.int64()) for i in range(6)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=[ident, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = dict(media.dtypes)[ident]
-    return media.select(ident, "n_bytes", "media").mapInArrow(run, f"`{ident}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select(ident, "n_bytes", "media", "codec", "seconds", "keyframes").mapInArrow(run, f"`{ident}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
