@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
 columns of ``documents``; the last returns each taken copy's token ids with their digests. Stages on word n-grams take
 five words and a similarity of 0.8.
+
+What every stage does with awkward rows: a null text counts as empty and goes in the first stage, as does one without a
+letter; texts of any length are read whole; rows that repeat an id and a text are copies and become one in the second
+stage; rows that repeat an id with different texts share the fate of the one that stands for the id in the third; rows
+without an id are documents of their own and never near copies; columns beyond those of ``documents`` are carried on,
+whatever their names; an empty table gives no rows. What a stage wrote is deleted when the next one has been written.
 """
 
 from __future__ import annotations
@@ -15,9 +21,9 @@ from deskflow.session import ship
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a learned language (null texts, texts without a letter) go."""
+    """Documents in no learned language go: null texts, texts without a letter, texts whose n-grams no language has."""
     ship(spark)
-    return language_id.keep_known(docs)
+    return language_id.keep_known(docs, least=0.0)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the table of documents; each result is written as Parquet and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = first = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if docs is not first:
+            common.discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
