@@ -20,6 +20,7 @@ GRAM, PROBES = 4, 3
 DOCS_PER_LANGUAGE = 4000  # expected size of the bounded sample that the filters are fitted on
 LEAST_RATE = 3e-6  # a language contains an n-gram that it has at this rate or more, at most 333,333 n-grams; n-grams met once don't count
 MOST_CELLS = 1 << 22
+LEAST_GRAMS = 3
 UNKNOWN = "und"
 _TABLES: list[np.ndarray] = []
 
@@ -74,6 +75,11 @@ class Filters:
         return found
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The language and score of each text."""
+        return self.weigh(texts)[:2]
+
+    def weigh(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language and score of each text, and how many n-grams it has."""
         hashes, owner, has = grams(texts)
         n = np.bincount(owner, minlength=len(texts))
         right = np.zeros((len(texts), len(self.languages)))
@@ -88,7 +94,7 @@ class Filters:
         best = np.where(total > 0, best, self.common)
         score = np.where(total > 0, right.max(1, initial=0) / np.maximum(total, 1e-9), 0.0)
         known = has & bool(self.languages)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0), n
 
 
 def places(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -194,8 +200,9 @@ def _accepted(filters: Filters, least: float | None):
     def accepted(texts: pa.Array) -> pa.Array:
         batch, found = pa.RecordBatch.from_arrays([texts], names=["body"]), []
         for part in common.slices(batch, "body"):
-            lang, score = filters.predict([t or "" for t in part.column("body").to_pylist()])
-            found += [p != UNKNOWN and (least is None or s > least) for p, s in zip(lang, score.tolist(), strict=True)]
+            lang, score, n = filters.weigh([t or "" for t in part.column("body").to_pylist()])
+            fine = (score > least) | (n < LEAST_GRAMS) if least is not None else np.ones(len(n), bool)
+            found += [p != UNKNOWN and ok for p, ok in zip(lang, fine.tolist(), strict=True)]
         return pa.array(found, pa.bool_())
 
     return accepted
@@ -205,7 +212,7 @@ def keep_known(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang:
     """The rows of ``docs`` whose text is in some learned language, with all their columns and without a shuffle.
 
     With ``least``, the score must exceed it too; 0 rejects texts none of whose n-grams any language contains, which are
-    of no learned language.
+    of no learned language. A text of fewer than LEAST_GRAMS n-grams, such as one short word, is too short for that.
     """
     return docs.where(_accepted(learn(docs, ident, text, lang), least)(F.col(text)))
 
