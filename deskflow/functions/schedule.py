@@ -6,7 +6,8 @@ allows, so a minute matches if five array lookups do; nothing is evaluated row b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
@@ -70,31 +71,54 @@ def ticks(entries: DataFrame, begin: str, end: str) -> DataFrame:
     return rows.where(matches(F.col("tick"), F.col("plan")) & (F.col("tick") >= F.lit(begin).cast("timestamp_ntz")) & (F.col("tick") < F.lit(end).cast("timestamp_ntz"))).select("name", "tick")
 
 
-def events_per_tick(ticked: DataFrame, events: DataFrame, ts: str = "ts") -> DataFrame:
-    """(name, tick, n_events): events since the tick before (exclusive) up to the tick (inclusive).
-
-    Ticks and events are merged in one ordering, by day, so no range join is needed: each event is counted at the
-    first tick that isn't before it, found among the schedule's own sorted array of ticks (a table bounded by the
-    period, not by the events).
-    """
-    lists = ticked.groupBy("name").agg(F.array_sort(F.collect_list("tick")).alias("all"))
-    hit = events.select(F.col(ts).alias("ts")).join(F.broadcast(lists))  # one row per schedule
-    counted = hit.select("name", F.expr("try_element_at(filter(all, t -> t >= ts), 1)").alias("tick")).where("tick is not null").groupBy("name", "tick").agg(F.count(F.lit(1)).alias("n"))
-    return ticked.join(counted, ["name", "tick"], "left").select("name", "tick", F.coalesce("n", F.lit(0)).alias("n_events"))
+def _minute(ts: Column) -> Column:
+    """Whole minutes since 1970, rounded up; ticks lie on whole minutes, so this is the first that can count a row."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+    return F.ceil(micros / 60_000_000)
 
 
-def coalesced(ticked: DataFrame, busy: DataFrame) -> DataFrame:
-    """(name, tick) of ticks that fire when each fire keeps its entry busy for ``busy`` (name, tick, seconds).
+def events_per_tick(ticked: DataFrame, events: DataFrame, ts: str = "ts") -> DataFrame:
+    """(name, tick, n_events): events since the tick before (exclusive) up to the tick (inclusive); a schedule's first tick
+    counts all that came before it.
 
-    The next run is computed after a fire settles, so ticks that pass while busy are skipped. A fold over each
-    entry's ordered ticks carries the time from which it is free.
+    Events are counted by minute before anything is shuffled, so what is joined is bounded by the minutes of the period.
+    Ticks and minutes are merged in one ordering by day; a tick's count is the difference of two running totals. Days,
+    a row each, carry the totals from one day to the next.
     """
-    rows = ticked.join(busy, ["name", "tick"], "left").withColumn("seconds", F.coalesce("seconds", F.lit(0)).cast("long"))
-    lists = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("tick", "seconds"))).alias("all"))
-    start = F.expr("named_struct('free', timestamp_ntz'0001-01-01 00:00:00', 'fired', cast(array() as array<timestamp_ntz>))")
-
-    def step(state: Column, t: Column) -> Column:
-        done = F.timestamp_add("SECOND", t["seconds"], t["tick"])
-        return F.when(t["tick"] > state["free"], F.struct(done.alias("free"), F.concat(state["fired"], F.array(t["tick"])).alias("fired"))).otherwise(state)
-
-    return lists.select("name", F.explode(F.aggregate("all", start, step)["fired"]).alias("tick"))
+    counted = events.where(F.col(ts).isNotNull()).groupBy(_minute(F.col(ts)).alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    merged = counted.unionByName(ticked.select(_minute(F.col("tick")).alias("minute"), F.lit(0).cast("long").alias("n")).distinct())
+    merged = merged.withColumn("day", F.floor(F.col("minute") / 1440))
+    days = merged.groupBy("day").agg(F.sum("n").alias("in_day"))
+    days = days.select("day", F.coalesce(F.sum("in_day").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("day").orderBy("minute").rangeBetween(Window.unboundedPreceding, 0))
+    totals = merged.withColumn("inside", inside).where("n = 0").join(days, "day").select("minute", (F.col("before") + F.col("inside")).alias("upto"))
+    placed = ticked.withColumn("minute", _minute(F.col("tick"))).join(totals, "minute")
+    earlier = F.lag("upto", 1, 0).over(Window.partitionBy("name").orderBy("tick"))
+    return placed.select("name", "tick", (F.col("upto") - earlier).alias("n_events"))
+
+
+def coalesced(ticked: DataFrame, busy: DataFrame, *chain: str) -> DataFrame:
+    """(chain, name, tick, started) of ticks that fire when each fire takes ``busy`` (chain, name, tick, seconds).
+
+    All entries of a chain fire one after another, in the order of their ticks and then names: a tick whose entry is due
+    waits until the fires before it have settled. An entry's next run is computed when its own fire settles, so its ticks
+    that pass meanwhile are skipped. Without ``chain`` all entries are one. A chain is one agent's ticks of a period, folded
+    in one task; agents are folded side by side.
+    """
+    keys = [*chain, "name", "tick"]
+    rows = ticked.join(busy, keys, "left").select(*keys, F.coalesce("seconds", F.lit(0)).cast("long").alias("seconds"))
+    kinds = dict(rows.dtypes)
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        settled, free, fired = {}, None, []
+        for r in frame.sort_values(["tick", "name"]).to_dict("records"):
+            own = settled.get(r["name"])
+            if own is not None and r["tick"] <= own:
+                continue
+            start = r["tick"] if free is None else max(r["tick"], free)
+            free = settled[r["name"]] = start + pd.Timedelta(seconds=int(r["seconds"]))
+            fired.append([*[r[k] for k in keys], start])
+        return pd.DataFrame(fired, columns=[*keys, "started"])
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", started {kinds['tick']}"
+    return rows.groupBy(*chain).applyInPandas(fold, schema)

@@ -49,9 +49,10 @@ def get(memories: DataFrame, ids: DataFrame, ident: str, content: str) -> DataFr
 
 
 def latest(writes: DataFrame, ident: str, order: str) -> DataFrame:
-    """The upsert view of an append-only table: the last write of each id."""
+    """The upsert view of an append-only table: the last write of each id; of several at once the greatest row."""
     rest = [c for c in writes.columns if c != ident]
-    return writes.groupBy(ident).agg(F.max_by(F.struct(*rest), order).alias("row")).select(ident, "row.*")
+    last = F.max(F.struct(order, *[c for c in rest if c != order]))
+    return writes.groupBy(ident).agg(last.alias("row")).select(ident, *[F.col(f"row.`{c}`").alias(c) for c in rest])
 
 
 def new_memory(rows: DataFrame) -> DataFrame:

@@ -19,6 +19,13 @@ def from_raw(raw: DataFrame, bot_id: str | None) -> DataFrame:
     return raw.select("id", F.col("channel_id").alias("channelId"), F.col("author.id").alias("authorId"), F.col("author.username").alias("authorName"), "content", F.coalesce(mentioned, F.lit(False)).alias("mentionsBot"))
 
 
+def from_gateway(events: DataFrame, bot_id: str | None) -> DataFrame:
+    """Gateway events (id, channelId, author, content, mentions with a map of users by id) as flat messages, our own left out."""
+    mentioned = F.map_contains_key("mentions.users", F.lit(bot_id)) if bot_id else F.lit(False)
+    others = events.where(not_own(F.col("author.id"), bot_id))
+    return others.select("id", "channelId", F.col("author.id").alias("authorId"), F.col("author.username").alias("authorName"), "content", F.coalesce(mentioned, F.lit(False)).alias("mentionsBot"))
+
+
 def allowed(messages: DataFrame, channels: DataFrame, column: str = "channelId") -> DataFrame:
     """Rows of listed channels; the list is small, and Spark broadcasts it when its size allows."""
     return messages.join(channels.select(F.col(channels.columns[0]).alias(column)).distinct(), column, "left_semi")
@@ -48,8 +55,8 @@ def prompts(messages: DataFrame, channels: DataFrame, dispatch_all: bool = False
 
 
 def last_assistant(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, raw): text of the last assistant turn; earlier turns don't stand in for an empty one."""
-    return turns.where("role = 'assistant'").groupBy(key).agg(F.max_by(F.coalesce("text", F.lit("")), "turn").alias("raw"))
+    """(key, raw): text of the last assistant turn, of equal turns the greatest; earlier turns don't stand in for an empty one."""
+    return turns.where("role = 'assistant'").groupBy(key).agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("raw")))["raw"].alias("raw"))
 
 
 def final_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:

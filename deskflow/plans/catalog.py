@@ -6,19 +6,15 @@ docstring names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskflow.functions import config_text, schedule
 from deskflow.functions import text as T
 from deskflow.operators import capabilities, health, memory, messages, routing
+from deskflow.plans.registry import ORACLE_SQL, QUERIES, query, table, values  # noqa: F401
 from deskflow.session import ship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 _CLASS = T.WHITE
 
 
@@ -26,24 +22,6 @@ def _js_trim(s: str) -> str:
     return f"regexp_replace({s}, '\\A{_CLASS}+|{_CLASS}+\\z', '', 'g')"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
-
-
 # --- messages -------------------------------------------------------------------------------------------------------
 
 
@@ -348,7 +326,7 @@ def cron_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = values(spark, "('poll', '*/5 * * * *', 'Poll.')", "name, schedule, prompt")
     ticks = schedule.ticks(entries, "2024-01-01 00:00:00", "2024-01-03 00:00:00")
     busy = ticks.withColumn("seconds", F.expr("(unix_timestamp(cast(tick as timestamp)) div 300) * 37 % 1000"))
-    return schedule.coalesced(ticks, busy)
+    return schedule.coalesced(ticks, busy).select("name", "tick")
 
 
 # --- configuration, capabilities and text ------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ MANIFEST = "name string, version string, dependencies map<string,string>, devDep
 
 
 def parse_mail(raw: DataFrame, content: str = "content") -> DataFrame:
-    """(file, mail, poison): each file's text as a message. Bad JSON, ``null`` and an empty file are poison.
+    """(file, mail, poison, content): each file's text as a message. Bad JSON, ``null`` and an empty file are poison.
 
     Files are parsed from their whole text. Spark's own file sources never list a file of no bytes, so ``inbox``
     has no row for one; texts from other sources that are empty are poison.
@@ -19,7 +21,7 @@ def parse_mail(raw: DataFrame, content: str = "content") -> DataFrame:
     text = F.col(content).cast("string")
     mail = F.from_json(text, MAIL, {"mode": "PERMISSIVE"})
     fine = F.expr(f"try_parse_json(cast({content} as string))").isNotNull() & F.trim(text).startswith("{") & mail.isNotNull()
-    return raw.select(F.col("path").alias("file"), mail.alias("mail"), (~F.coalesce(fine, F.lit(False))).alias("poison"))
+    return raw.select(F.col("path").alias("file"), mail.alias("mail"), (~F.coalesce(fine, F.lit(False))).alias("poison"), text.alias("content"))
 
 
 def inbox(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +67,25 @@ def env_config(rows: DataFrame, value: str, schema: str) -> DataFrame:
     return rows.withColumn("config", F.from_json(value, schema))
 
 
+def probe(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, there, mode, n_files) of wanted paths: whether there is one, its permission bits, how many files it holds.
+
+    The driver asks the path's own file system; meant for the few paths of a health check, not for listings.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        system = path.getFileSystem(conf)
+        if not system.exists(path):
+            rows.append((p, False, None, None))
+            continue
+        status = system.getFileStatus(path)
+        n = sum(f.isFile() for f in system.listStatus(path)) if status.isDirectory() else None
+        rows.append((p, True, int(status.getPermission().toShort()), n))
+    return spark.createDataFrame(rows, "path string, there boolean, mode int, n_files int")
+
+
 def file_facts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modificationTime) of a folder's files, without reading them."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")

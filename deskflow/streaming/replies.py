@@ -1,4 +1,4 @@
-"""Reply correlation over a stream, with one state value per agent: the pending message."""
+"""Reply correlation and schedules over a stream, with state for each agent: the pending message, when fires settle."""
 
 from __future__ import annotations
 
@@ -40,25 +40,34 @@ def pending_replies(events: DataFrame) -> DataFrame:
 
 
 class ScheduleState(StatefulProcessor):
-    """Ticks (name, tick, seconds) to those that fire: an entry is busy for ``seconds`` after each fire."""
+    """Ticks (agent, name, tick, seconds) to those that fire, one after another; see ``schedule.coalesced``.
+
+    State: when the chain is free, and when each entry's last fire settled. All rows of a key in a batch are sorted first.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.free = handle.getValueState("free", "at timestamp")
+        self.settled = handle.getMapState("settled", "name string", "at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         free = pd.Timestamp(self.free.get()[0]) if self.free.exists() else None
         fired = []
-        for r in pd.concat(list(rows)).sort_values("tick").itertuples():
-            if free is None or r.tick > free:
-                fired.append((key[0], r.tick))
-                free = r.tick + pd.Timedelta(seconds=int(r.seconds))
+        for r in pd.concat(list(rows)).sort_values(["tick", "name"]).itertuples(index=False):
+            if self.settled.containsKey((r.name,)) and r.tick <= pd.Timestamp(self.settled.getValue((r.name,))[0]):
+                continue
+            start = r.tick if free is None else max(r.tick, free)
+            free = start + pd.Timedelta(seconds=int(r.seconds))
+            self.settled.updateValue((r.name,), (free.to_pydatetime(),))
+            fired.append((key[0], r.name, r.tick, start))
         if free is not None:
             self.free.update((free.to_pydatetime(),))
-        yield pd.DataFrame(fired, columns=["name", "tick"])
+        yield pd.DataFrame(fired, columns=["agent", "name", "tick", "started"])
 
     def close(self) -> None:
         pass
 
 
 def coalesced(ticks: DataFrame) -> DataFrame:
-    return ticks.groupBy("name").transformWithStateInPandas(ScheduleState(), outputStructType="name string, tick timestamp", outputMode="Append", timeMode="none")
+    """(agent, name, tick, started); needs the RocksDB state store."""
+    schema = "agent string, name string, tick timestamp, started timestamp"
+    return ticks.groupBy("agent").transformWithStateInPandas(ScheduleState(), outputStructType=schema, outputMode="Append", timeMode="none")
