@@ -6,8 +6,9 @@
 2. Regions whose anchor's hash occurs once can't hold a repeated string and go no further. Of the others each
    different one (by a 128-bit hash) is cut from a text once and goes to the shard of its anchor's hash.
 3. In a shard regions fall into pieces by how many bytes a string has before the anchor. All strings of a piece contain
-   its core, its middle bytes, so only pieces with equal cores share a string, and in the sort a core is two symbols.
-   Each different piece enters the sort once, or twice if it occurs more than once. The shard's suffixes are sorted by
+   its core, its middle bytes, so only pieces with equal cores share a string, and in the sort a core is two symbols, as
+   are the bytes next to it that all its pieces agree in: of equal pieces little more than these is left. Each different
+   piece enters the sort once, or twice if it occurs more than once. The shard's suffixes are sorted by
    induced sorting; strings whose permuted common prefixes span their length are repeated. Nothing else decides.
 4. A group too large for a shard is dealt to more of them by longer cores: pieces of 32, then 8, then 2 places, where
    the bytes beside the core that a group can still differ in are so few that it fits. Equal pieces are combined
@@ -17,6 +18,8 @@
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,43 +144,53 @@ def finer(before: bytes, after: bytes, width: int, to: int) -> list[tuple[int, i
     return out
 
 
-def shard_spans(classes: list[list[tuple[int, bytes, bytes]]], width: int) -> list[list[tuple[int, int] | None]]:
+Class = tuple[int, int, list[tuple[int, bytes, bytes]]]
+
+
+def one_core(members: list[tuple[int, bytes, bytes]]) -> Class:
+    """(left, right, members): how many bytes next to their core the pieces (how often, before, after) all agree in."""
+    return len(commonprefix([m[1][::-1] for m in members])), len(commonprefix([m[2] for m in members])), members
+
+
+def shard_spans(classes: list[Class], width: int) -> list[list[tuple[int, int] | None]]:
     """(first, last) start, in bytes from its first, of the repeated strings of each piece, or None.
 
-    A class holds the different pieces of one core, as (how often, bytes before, bytes after). A core becomes two symbols
-    above all bytes, so a string of ``length`` bytes becomes one of width + 1 symbols, equal exactly where it was.
+    A class holds the different pieces of one core. The core, with the bytes next to it that all of them agree in, becomes
+    two symbols above all bytes; a last symbol keeps texts apart. So a string with j bytes before the core becomes one of
+    max(j - left, 0) + 2 + max(width - 1 - j - right, 0) symbols, equal to another exactly where it was, and it is repeated
+    if it shares that many with the suffix sorted next to it on either side.
     """
-    short = width + 1
-    rows = [p for c in classes for p in c]
+    rows = [p for _, _, c in classes for p in c]
     if not rows:
         return []
+    code = np.repeat(np.arange(len(classes)), [len(c) for _, _, c in classes])
+    left, right = (np.array([c[i] for c in classes])[code] for i in (0, 1))
+    texts = [m[1][: len(m[1]) - l] + b"\0\0" + m[2][r:] + b"\0" for l, r, c in classes for m in c]
     copies = np.minimum([p[0] for p in rows], 2)
+    data = np.frombuffer(b"".join([t * n for t, n in zip(texts, copies.tolist(), strict=True)]), np.uint8).astype(np.uint16)
     row = np.repeat(np.arange(len(rows)), copies)
-    texts = [p[1] + b"\0\0" + p[2] for p in rows]
-    data = np.frombuffer(b"".join([t for t, c in zip(texts, copies.tolist(), strict=True) for _ in range(c)]), np.uint8).astype(np.uint16)
-    size = np.array([len(t) for t in texts])[row]
-    end = np.cumsum(size)
-    code = np.repeat(np.arange(len(classes)), [len(c) for c in classes])[row]
-    core = end - size + np.array([len(p[1]) for p in rows])[row]
-    data[core] = 256 + (code >> 8)
-    data[core + 1] = 256 + (code & 255)
+    size = np.array([len(t) for t in texts])
+    end = np.cumsum(size[row])
+    before, after = (np.array([len(p[i]) for p in rows]) for i in (1, 2))
+    core = end - size[row] + (before - left)[row]
+    data[core], data[core + 1], data[end - 1] = 256 + (code[row] >> 8), 256 + (code[row] & 255), 512 + (len(classes) >> 8)
     sa = suffix_array(data)
-    lcp = permuted_lcp(data, sa)[sa]
-    text = np.repeat(np.arange(len(row)), size)
-    fits = np.arange(len(data)) + short <= end[text]
-    kind = np.cumsum(lcp < short)
-    pick = fits[sa]
-    spot, kind = sa[pick], kind[pick]
-    low, high = np.full(len(rows), len(data)), np.full(len(rows), -1)
-    if len(spot):
-        begin = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
-        count = np.diff(np.r_[begin, len(spot)])
-        twice = spot[np.repeat(count > 1, count)]
-        inside = twice - (end - size)[text[twice]]
-        np.minimum.at(low, row[text[twice]], inside)
-        np.maximum.at(high, row[text[twice]], inside)
+    lcp = permuted_lcp(data, sa)
+    near = np.zeros(len(data), np.int64)
+    near[sa] = np.maximum(lcp[sa], np.r_[lcp[sa[1:]], 0])
+    # The strings of each piece, by the bytes they have before the core; a piece's first copy speaks for both.
+    least = width - 1 - after
+    count = before - least + 1
+    piece = np.repeat(np.arange(len(rows)), count)
+    j = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + least[piece]
+    ahead = np.maximum(j - left[piece], 0)
+    place = core[np.cumsum(copies) - copies][piece] - ahead
+    twice = near[place] >= ahead + 2 + np.maximum(width - 1 - j - right[piece], 0)
+    low, high = np.full(len(rows), 1 << 30), np.full(len(rows), -1)
+    np.minimum.at(low, piece[twice], (before[piece] - j)[twice])
+    np.maximum.at(high, piece[twice], (before[piece] - j)[twice])
     found = iter([(a, b) if b >= 0 else None for a, b in zip(low.tolist(), high.tolist(), strict=True)])
-    return [[next(found) for _ in c] for c in classes]
+    return [[next(found) for _ in c] for _, _, c in classes]
 
 
 class _Shard:
@@ -186,7 +199,7 @@ class _Shard:
     def __init__(self, length: int):
         self.length, self.symbols = length, 0
         self.regions: list[tuple] = []
-        self.classes: list[list[tuple[int, bytes, bytes]]] = []
+        self.classes: list[Class] = []
         self.users: list[list[list[tuple[int, int]]]] = []
 
     def add(self, group: list[tuple]) -> None:
@@ -201,9 +214,10 @@ class _Shard:
         for found in cores.values():
             members = [(n, before, after) for (before, after), (n, _) in found.items()]
             if len(members) > 1 or members[0][0] > 1:  # a core that occurs once can't be in a repeated string
-                self.classes.append(members)
+                left, right, _ = one = one_core(members)
+                self.classes.append(one)
                 self.users.append([used for _, used in found.values()])
-                self.symbols += sum((len(b) + len(a) + 2) * min(n, 2) for n, b, a in members)
+                self.symbols += sum((len(b) - left + len(a) - right + 3) * min(n, 2) for n, b, a in members)
 
     def spans(self) -> pa.RecordBatch:
         low, high = [1 << 30] * len(self.regions), [-1] * len(self.regions)
@@ -274,7 +288,7 @@ def _sorted_pieces(kinds: DataFrame, width: int) -> DataFrame:
         keys, classes, symbols, last = [], [], 0, None
 
         def flush():
-            rows = [(*key, *span) for group, found in zip(keys, shard_spans(classes, width), strict=True) for key, span in zip(group, found, strict=True) if span]
+            rows = [(*key, *span) for group, found in zip(keys, shard_spans([one_core(c) for c in classes], width), strict=True) for key, span in zip(group, found, strict=True) if span]
             types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=["g1", "g2", "before", "after", "from", "to"])
 

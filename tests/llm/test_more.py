@@ -52,7 +52,7 @@ def test_language_stage_rejects_what_no_language_has(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(rng.choice(["thing", "other", "where"], 12)), "en") for i in range(60)]
     rows += [(60, "Re.", "en")]  # too short to tell
-    odd = [(100, "ЖЖЖЖ ЪЪЪЪ", None), (101, "漢字漢字", None), (102, None, "en"), (103, "12 !", "en")]
+    odd = [(100, "ЖЖЖЖ ЪЪЪЪ", None), (101, "漢字漢字漢字", None), (102, None, "en"), (103, "12 !", "en")]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
     kept = corpus_pipeline.known_language(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == list(range(61)) and language_id.keep_known(docs).count() == 63
