@@ -29,7 +29,7 @@ from deskflow.llm import common
 from deskflow.llm.suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 400, 32
-HOT = 1000  # different regions or pieces of a group beyond which it is dealt out by longer cores
+HOT = 300  # different regions or pieces of a group beyond which it is dealt out by longer cores
 WIDTHS = (32, 8, 2)  # places that the strings of one piece start at; groups of the last are bounded by two bytes
 SHARD_SYMBOLS = 500_000  # symbols whose suffixes are sorted at a time, by whole groups
 STEP = 6_000_000
