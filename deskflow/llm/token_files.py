@@ -226,7 +226,8 @@ def write_blocks(tokens: DataFrame, freq: np.ndarray, width: int, path: str) ->
         if pending:
             yield flush()
 
-    dealt = tokens.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.col("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.col("ids"))
+    order = [F.col("doc_id").asc_nulls_last(), F.crc32("ids")]  # small keys: a sample of them comes to the driver
+    dealt = tokens.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = dealt.withColumn("shard", F.spark_partition_id())
     schema = "shard int, block long, first long, n_ids long, doc_ids array<long>, sizes array<long>, totals array<long>, offsets array<long>, coded binary"
     dealt.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
@@ -263,7 +264,7 @@ def token_files(docs: DataFrame, path: str, end_id: int = 0, ident: str = "doc_i
     """Write the ids of ``docs`` as block files; returns their folder and the table of frequencies.
 
     Ids of documents are integers; a null id comes last. Rows that repeat an id all come, next to each other, in order of
-    their ids' bytes. A null or empty text has the end id alone; texts of any length are cut over blocks. No rows give no
+    their ids' CRC. A null or empty text has the end id alone; texts of any length are cut over blocks. No rows give no
     blocks. Other columns, whatever their names, are not read.
     """
     spark = common.ship(docs.sparkSession)
