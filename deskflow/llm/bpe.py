@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from deskflow.llm import common
 from deskflow.llm.tokenizing import byte_letters
 
-CACHED = 250_000  # chunks kept by a worker
+CACHED = 150_000  # chunks kept by a worker while it runs a task
 MERGED_SYMBOLS = 1_000_000  # symbols in one flat array
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = "\x1c\x1d\x1e\x1f"  # str.split() takes these for white space, the tokenizer does not
@@ -156,25 +156,39 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids.tolist() if i < self.base])
 
 
-def encode_texts(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, ids array<int>) of every row; a null or empty text has no ids.
+def _arrays(coder: WordBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts on end, and where each text's end."""
+    ids = coder.encode([t or "" for t in texts.to_pylist()])
+    return np.frombuffer(b"".join(ids), "<i4"), np.cumsum([0, *[len(i) // 4 for i in ids]]).astype(np.int32)
 
-    Texts of any length are read whole, words of more than MERGED_SYMBOLS bytes in an array of their own. Rows that
-    repeat an id, or have none, all come back. An empty table gives no rows; other columns are not read.
+
+def _texts(names: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Tokens on end with single spaces, as the library decodes for a file without a decoder."""
+    tokens = names[ids].tolist()
+    return pa.array([" ".join(tokens[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+
+
+def encode_texts(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+    """(ident, ids array<int>) of every row, with ``decode`` also ``decoded``, the text that its ids give.
+
+    A null or empty text has no ids. Texts of any length are read whole, words of more than MERGED_SYMBOLS bytes in an
+    array of their own. Rows that repeat an id, or have none, all come back. An empty table gives no rows; other columns
+    are not read.
     """
     common.ship(docs.sparkSession)
 
     def run(batches):
         coder = WordBpe.at(path)
+        names = np.array(coder.tokens, object)
         for batch in batches:
             for part in common.slices(batch, "body"):
-                ids = coder.encode([t or "" for t in part.column("body").to_pylist()])
-                ends = np.cumsum([0, *[len(i) // 4 for i in ids]]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("ident"), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[ident, "ids"])
+                ids, ends = _arrays(coder, part.column("body"))
+                columns = [part.column("ident"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, *([_texts(names, ids, ends)] if decode else [])], names=[ident, "ids", *(["decoded"] if decode else [])])
+        coder.ids = {}  # workers are kept for later stages
 
     kind = dict(docs.dtypes)[ident]
-    return docs.selectExpr(f"`{ident}` as ident", f"`{text}` as body").mapInArrow(run, f"`{ident}` {kind}, ids array<int>")
+    return docs.selectExpr(f"`{ident}` as ident", f"`{text}` as body").mapInArrow(run, f"`{ident}` {kind}, ids array<int>" + (", decoded string" if decode else ""))
 
 
 def decode_ids(tokens: DataFrame, path: str, ident: str = "doc_id") -> DataFrame:
@@ -182,16 +196,13 @@ def decode_ids(tokens: DataFrame, path: str, ident: str = "doc_id") -> DataFrame
     common.ship(tokens.sparkSession)
 
     def run(batches):
-        coder = WordBpe.at(path)
-        names = np.array(coder.tokens, object)
+        names = np.array(WordBpe.at(path).tokens, object)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 column = part.column("ids")
-                flat, off = column.flatten().to_numpy(), np.r_[0, np.cumsum([len(x) if x.is_valid else 0 for x in column])]
-                tokens = names[flat].tolist()
-                texts = [" ".join(tokens[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), column, pa.array(texts, pa.string())], names=[ident, "ids", "decoded"])
+                ends = np.r_[0, np.cumsum([len(x) if x.is_valid else 0 for x in column])]
+                yield pa.RecordBatch.from_arrays([part.column(0), column, _texts(names, column.flatten().to_numpy(), ends)], names=[ident, "ids", "decoded"])
 
     kind = dict(tokens.dtypes)[ident]
     return tokens.select(ident, "ids").mapInArrow(run, f"`{ident}` {kind}, ids array<int>, decoded string")
@@ -207,5 +218,4 @@ def digests(coded: DataFrame, ident: str = "doc_id") -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = word_bpe_path()
-    return digests(decode_ids(encode_texts(common.documents(spark, sf_dir), path), path))
+    return digests(encode_texts(common.documents(spark, sf_dir), word_bpe_path(), decode=True))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from deskflow.session import ship
 
 #: Bytes of text that one vectorised step handles at a time; the arrays it makes are about 50 times as large.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 U64 = np.uint64
 _LOCAL_SCRATCH: list[str] = []
 
@@ -77,6 +77,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES, rows: int
         end = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + most, "right"))))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages, with what their pools hold
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

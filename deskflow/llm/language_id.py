@@ -156,10 +156,10 @@ def fit(labelled: DataFrame, sample: int = DOCS_PER_LANGUAGE) -> Filters:
     def count(batches):
         for batch in batches:
             for part in common.slices(batch, "body"):
-                langs = np.array(part.column("lang").to_pylist(), object)
+                names, code = np.unique(np.array(part.column("lang").to_pylist()), return_inverse=True)
                 hashes, owner, _ = grams([t or "" for t in part.column("body").to_pylist()])
-                for lang in sorted(set(langs)):
-                    gram, n = np.unique(hashes[langs[owner] == lang], return_counts=True)
+                for k, lang in enumerate(names.tolist()):
+                    gram, n = np.unique(hashes[code[owner] == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counted = chosen.select("ident", "body", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -265,7 +265,8 @@ def _open_pairs(index: Index, labelled: DataFrame) -> DataFrame:
     many = many.join(differences(many, index.texts, index.words), ["a", "b"])
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit((1 + 1e-9) * float(np.log(max(den / num, 1.001)))))
     need = num * F.col("n") + whole * F.col("missing")
-    many = common.materialise(many.select("a", "b", "label", "pivot_n", size.alias("size"), need.alias("need"), "differ"), "differences")
+    with common.small_batches(labelled.sparkSession):
+        many = common.materialise(many.select("a", "b", "label", "pivot_n", size.alias("size"), need.alias("need"), "differ"), "differences")
     least = many.groupBy("b", "size").agg(F.min(F.struct("need", "a", "label")).alias("least")).select("b", F.col("size").alias("near"), "least")
     around = many.select("a", "b", "label", "need", "pivot_n", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("near")).join(least, ["b", "near"])
     over = F.col("need") + F.col("least.need") - whole * F.col("pivot_n")
@@ -309,11 +310,13 @@ def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 10
     index = indexed(docs, words, share, ident, text)
     sets, shared = index.sets, index.shared
     star = shared.where((F.col("doc_id") != F.col("pivot")) & index.enough("n", "i", "pivot_n", "j")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = common.materialise(index.links_of(star), "links")
+    with common.small_batches(docs.sparkSession):
+        first = common.materialise(index.links_of(star), "links")
     near = components(first)
     labelled = common.materialise(shared.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
     pairs = _open_pairs(index, labelled).join(star.select(F.col("a").alias("x"), F.col("b").alias("y")), ((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))), "left_anti")
-    second = common.materialise(index.links_of(pairs), "links")
+    with common.small_batches(docs.sparkSession):
+        second = common.materialise(index.links_of(pairs), "links")
     for done in (labelled, shared, index.texts, index.lists):
         common.discard(done)
     final = components(first.unionByName(second))

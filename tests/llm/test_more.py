@@ -183,3 +183,10 @@ def test_stages_on_awkward_tables(spark):
                 assert sorted(str(r.doc_id) for r in docs.collect()) == sorted(map(str, [*range(12), 3, 62, None, None]))
         out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
         assert len(out) == docs.count() and bool(out) == bool(table)
+
+
+def test_one_pass_equals_two(spark):
+    docs = spark.createDataFrame([(1, "Some words, <unk> 日本語"), (2, None), (3, ""), (None, "x" * 5000), (1, " a\n\tb ")], "doc_id long, text string")
+    path = bpe.word_bpe_path()
+    one, two = bpe.encode_texts(docs, path, decode=True), bpe.decode_ids(bpe.encode_texts(docs, path), path)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == 5
