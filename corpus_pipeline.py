@@ -45,8 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row."""
     ship(spark)
-    path = bpe.word_bpe_path()
-    coded = bpe.decode_ids(bpe.encode_texts(docs, path), path)
+    coded = bpe.encode_texts(docs, bpe.word_bpe_path(), decode=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
