@@ -229,7 +229,7 @@ def indexed(docs: DataFrame, words: int, share: tuple[int, int], ident: str, tex
     equal = chosen.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
     reps = chosen.join(equal.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "tag")
 
-    lists = prefixes(rows.where("doc_id is not null"), level, words, share).join(reps, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id"])
+    lists = prefixes(rows.where("doc_id is not null"), level, words, share).join(reps, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
     lists = common.materialise(lists, "prefixes")
     index = lists.select("doc_id", "tag", "n", F.posexplode("one").alias("i", "token"))
     # A pivot is the document where the n-gram comes first, then the least id: one decimal, so that hash aggregation can keep it.
@@ -239,7 +239,7 @@ def indexed(docs: DataFrame, words: int, share: tuple[int, int], ident: str, tex
     pivots = pivots.select("token", "pivot_n", (F.col("p") % shift - half).cast("long").alias("pivot"), F.floor(F.col("p") / shift).cast("int").alias("j"))
     shared = common.materialise(index.join(pivots, "token"), "shared")  # rows of n-grams that some other document has too
     ids = shared.select("doc_id", "tag").distinct()
-    texts = common.materialise(rows.join(ids, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id"]).drop("tag"), "texts")
+    texts = common.materialise(rows.join(ids, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]).drop("tag"), "texts")
     return Index(words, share, sets, chosen, equal, lists, shared.drop("tag"), texts)
 
 
