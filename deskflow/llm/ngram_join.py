@@ -310,14 +310,16 @@ def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 10
     index = indexed(docs, words, share, ident, text)
     sets, shared = index.sets, index.shared
     star = shared.where((F.col("doc_id") != F.col("pivot")) & index.enough("n", "i", "pivot_n", "j")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = common.materialise(star, "star")
     with common.small_batches(docs.sparkSession):
         first = common.materialise(index.links_of(star), "links")
     near = components(first)
     labelled = common.materialise(shared.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+    common.discard(shared)
     pairs = _open_pairs(index, labelled).join(star.select(F.col("a").alias("x"), F.col("b").alias("y")), ((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))), "left_anti")
     with common.small_batches(docs.sparkSession):
         second = common.materialise(index.links_of(pairs), "links")
-    for done in (labelled, shared, index.texts, index.lists):
+    for done in (labelled, star, index.texts, index.lists):
         common.discard(done)
     final = components(first.unionByName(second))
 
