@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from deskflow.llm import common
 from deskflow.llm.tokenizing import byte_letters
 
-CACHED = 150_000  # chunks kept by a worker while it runs a task
+CACHED = 250_000  # chunks kept by a worker while it runs a task
 MERGED_SYMBOLS = 1_000_000  # symbols in one flat array
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = "\x1c\x1d\x1e\x1f"  # str.split() takes these for white space, the tokenizer does not
