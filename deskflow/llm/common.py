@@ -33,10 +33,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors.
+
+    The shuffles of the write are deleted when it ends, not when the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,17 +54,21 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of few rows for what is executed inside: rows with two texts make large ones, held by JVM and Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what is executed inside."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of few rows for what is executed inside: rows with two texts make large ones, held by JVM and Python at once."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
