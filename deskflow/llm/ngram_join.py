@@ -237,7 +237,9 @@ def indexed(docs: DataFrame, words: int, share: tuple[int, int], ident: str, tex
     place = (F.col("i").cast("decimal(12,0)") * shift + (F.col("doc_id").cast("decimal(20,0)") + half)).cast("decimal(38,0)")
     pivots = index.withColumn("p", place).groupBy("token").agg(F.min("p").alias("p"), F.min_by("n", "p").alias("pivot_n"), F.count(F.lit(1)).alias("m")).where("m > 1")
     pivots = pivots.select("token", "pivot_n", (F.col("p") % shift - half).cast("long").alias("pivot"), F.floor(F.col("p") / shift).cast("int").alias("j"))
+    pivots = common.materialise(pivots, "pivots")  # apart from the join, so that only one shuffle of the index is on disk at a time
     shared = common.materialise(index.join(pivots, "token"), "shared")  # rows of n-grams that some other document has too
+    common.discard(pivots)
     ids = shared.select("doc_id", "tag").distinct()
     texts = common.materialise(rows.join(ids, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]).drop("tag"), "texts")
     return Index(words, share, sets, chosen, equal, lists, shared.drop("tag"), texts)
