@@ -16,10 +16,14 @@ orders of how rare they are among that pivot's documents. What the whole group s
 Frequencies come from a table of 2**20 counters over all documents. A bound on its size costs nothing in exactness:
 any order is valid, counters only make it a good one. Where every counter is full, rare and common n-grams mix, and more
 documents share an indexed n-gram; such groups are what the differences are for.
+
+Steps that shuffle every text or n-gram work on one part of many documents at a time, and on one pair of parts where
+pairs get both texts, so the disk they take beside the tables is a share of the input that doesn't grow with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +39,8 @@ COUNTERS = 1 << 20
 BLOCK = 256
 #: Open rows of one n-gram up to which the second round pairs them, so that a row meets a bounded number of others.
 FEW = 64
+#: Rows up to which all texts and n-grams are shuffled at once; more are dealt out to so many more parts, PARTS at most.
+PART, PARTS = 400_000, 4
 ORDERS = 5  # orders of a group's differences
 U = np.uint64
 
@@ -114,38 +120,59 @@ def rarity(profiles: DataFrame) -> np.ndarray:
     """A level from 0 to 255 for each counter, about 8 times the logarithm to base 2; at most COUNTERS rows reach the driver."""
     cells = profiles.where("n = -1").select(F.explode("counts").alias("c")).select(F.shiftright("c", 40).cast("int").alias("cell"), F.col("c").bitwiseAND((1 << 40) - 1).alias("m"))
     scaled = F.least(F.lit(255), F.round(8 * F.log2(1 + F.sum("m"))))
-    found = cells.groupBy("cell").agg(scaled.cast("short").alias("level")).toArrow()  # six bytes a row, not Python rows
+    levels = common.materialise(cells.groupBy("cell").agg(scaled.cast("short").alias("level")), "levels")
+    found = levels.toArrow()  # six bytes a row, not Python rows
+    common.discard(levels)
     level = np.zeros(COUNTERS, np.uint8)
     level[found["cell"].to_numpy()] = found["level"].to_numpy().astype(np.uint8)
     return level
 
 
-def prefixes(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, int]) -> DataFrame:
-    """(doc_id, tag, n, one, two, three): the prefixes of each set under the three orders."""
+def _lists(texts: pa.Array, level: np.ndarray, words: int, share: tuple[int, int], orders: tuple[int, ...]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The size of each text's set, and a column of prefixes for each of the ``orders`` (0, 1 or 2)."""
     num, den = share
+    value, row = shingle_sets(texts, words)
+    n = np.bincount(row, minlength=len(texts))
+    length = np.where(n > 0, n - -(-num * n // den) + 1, 0)
+    first = np.cumsum(n) - n
+    pick = np.repeat(first, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    ends = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
+    rank = level[(value >> U(44)).astype(np.int64)].astype(U)
+    columns = []
+    for k in orders:
+        key = ((rank << U(56)) | (value & U((1 << 56) - 1))) if k == 0 else ((rank >> U(4)) << U(60)) | (common.mix(value ^ U(0x1234567)) >> U(4)) if k == 1 else common.mix(value ^ U(0x89ABCDEF))
+        chosen = key[_order(row, key)][pick]
+        flat = pa.array(chosen.view(np.int64)) if k == 0 else pa.array((common.mix(chosen) & U(0x7FFFFFFF)).astype(np.int32))
+        columns.append(pa.ListArray.from_arrays(ends, flat))
+    return n, columns
+
+
+def prefixes(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, int]) -> DataFrame:
+    """(doc_id, tag, n, one): the prefix of each set under the first order."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "body"):
-                value, row = shingle_sets(part.column("body"), words)
-                n = np.bincount(row, minlength=part.num_rows)
-                length = np.where(n > 0, n - -(-num * n // den) + 1, 0)
-                first = np.cumsum(n) - n
-                pick = np.repeat(first, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                ends = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
-                rank = level[(value >> U(44)).astype(np.int64)].astype(U)
-                columns = []
-                for k, key in enumerate(((rank << U(56)) | (value & U((1 << 56) - 1)), ((rank >> U(4)) << U(60)) | (common.mix(value ^ U(0x1234567)) >> U(4)), common.mix(value ^ U(0x89ABCDEF)))):
-                    chosen = key[_order(row, key)][pick]
-                    flat = pa.array(chosen.view(np.int64)) if k == 0 else pa.array((common.mix(chosen) & U(0x7FFFFFFF)).astype(np.int32))
-                    columns.append(pa.ListArray.from_arrays(ends, flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(n, pa.int64()), *columns], names=["doc_id", "tag", "n", "one", "two", "three"])
-
-    return docs.mapInArrow(run, "doc_id long, tag long, n long, one array<long>, two array<int>, three array<int>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar enough, from both texts."""
+                n, (one,) = _lists(part.column("body"), level, words, share, (0,))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(n, pa.int64()), one], names=["doc_id", "tag", "n", "one"])
+
+    return docs.mapInArrow(run, "doc_id long, tag long, n long, one array<long>")
+
+
+def other_prefixes(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, int]) -> DataFrame:
+    """(doc_id, body, two, three): texts with their prefixes under the second and third order."""
+
+    def run(batches):
+        for batch in batches:
+            for part in common.slices(batch, "body"):
+                _, columns = _lists(part.column("body"), level, words, share, (1, 2))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), *columns], names=["doc_id", "body", "two", "three"])
+
+    return docs.mapInArrow(run, "doc_id long, body string, two array<int>, three array<int>")
+
+
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar enough, from both texts; left and right have those of a and b."""
     num, den = share
 
     def run(batches):
@@ -162,16 +189,16 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, i
                 keep = den * shared >= num * (n[:rows] + n[rows:] - shared)
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, left, right).mapInArrow(run, "a long, b long")
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_texts(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with both texts; a side that many pairs have is a skewed join, which Spark splits."""
-    left, right = (texts.select(F.col("doc_id").alias(side), F.col("body").alias(f"{name}_body")) for side, name in (("a", "left"), ("b", "right")))
+    left, right = (texts.select(F.col("doc_id").alias(side), F.col("body").alias(f"{name}_body")) for texts, side, name in ((left, "a", "left"), (right, "b", "right")))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left_body", "right_body")
 
 
-def differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def differences(pairs: DataFrame, left: DataFrame, right: DataFrame, words: int) -> DataFrame:
     """(a, b, missing, differ): of each set a the n-grams that it and its pivot b don't share; ``missing`` are b's."""
 
     def run(batches):
@@ -188,7 +215,11 @@ def differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 missing = np.bincount(pair[alone & other], minlength=rows)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(missing, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(value[alone].view(np.int64)))], names=["a", "b", "missing", "differ"])
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, missing long, differ array<long>")
+    return _with_texts(pairs, left, right).mapInArrow(run, "a long, b long, missing long, differ array<long>")
+
+
+def _part(column: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(parts))
 
 
 @dataclass
@@ -200,21 +231,33 @@ class Index:
     sets: DataFrame  # (doc_id, n, hi, lo) of every row
     chosen: DataFrame  # (doc_id, n, hi, lo) of every id, whose text is the one with the least hash
     equal: DataFrame  # (hi, lo, n, rep) of every set with n-grams
-    lists: DataFrame  # (doc_id, n, one, two, three) of the representatives
     shared: DataFrame  # (token, doc_id, n, i, pivot, pivot_n, j) of n-grams that some other document has too
-    texts: DataFrame  # (doc_id, body)
+    texts: list[DataFrame]  # (doc_id, body, two, three) of the documents in shared, by _part of doc_id
 
     def enough(self, a: str, i: str, b: str, j: str) -> Column:
         """Whether sets of a and b n-grams can be similar enough if the first they share are at i and j."""
         num, den = self.share
         return (num + den) * F.least(F.col(a) - F.col(i), F.col(b) - F.col(j)) >= num * (F.col(a) + F.col(b))
 
+    def cells(self, pairs: DataFrame) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+        """``pairs`` (a, b) of each two parts of the texts, with the two parts."""
+        n = len(self.texts)
+        for x, left in enumerate(self.texts):
+            for y, right in enumerate(self.texts):
+                yield pairs.where((_part("a", n) == x) & (_part("b", n) == y)) if n > 1 else pairs, left, right
+
     def links_of(self, pairs: DataFrame) -> DataFrame:
-        """The links among ``pairs`` (a, b)."""
-        others = self.lists.select(F.col("doc_id").alias("a"), F.col("two").alias("two_a"), F.col("three").alias("three_a"))
-        right = others.select(F.col("a").alias("b"), F.col("two_a").alias("two_b"), F.col("three_a").alias("three_b"))
-        kept = pairs.join(others, "a").join(right, "b").where(F.arrays_overlap("two_a", "two_b") & F.arrays_overlap("three_a", "three_b")).select("a", "b")
-        return verified(kept, self.texts, self.words, self.share)
+        """The links among ``pairs`` (a, b), a table that is written already."""
+
+        def meeting(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+            left, right = (texts.select(F.col("doc_id").alias(x), F.col("two").alias(f"two_{x}"), F.col("three").alias(f"three_{x}")) for texts, x in ((left, "a"), (right, "b")))
+            return pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("two_a", "two_b") & F.arrays_overlap("three_a", "three_b")).select("a", "b")
+
+        kept = common.materialise_parts((meeting(*cell) for cell in self.cells(pairs.select("a", "b"))), "kept")
+        with common.small_batches(pairs.sparkSession):
+            links = common.materialise_parts((verified(*cell, self.words, self.share) for cell in self.cells(kept)), "links")
+        common.discard(kept)
+        return links
 
 
 def indexed(docs: DataFrame, words: int, share: tuple[int, int], ident: str, text: str) -> Index:
@@ -229,24 +272,33 @@ def indexed(docs: DataFrame, words: int, share: tuple[int, int], ident: str, tex
     equal = chosen.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
     reps = chosen.join(equal.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "tag")
 
-    lists = prefixes(rows.where("doc_id is not null"), level, words, share).join(reps, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
+    parts = min(PARTS, 1 + sets.count() // PART)
+    named = rows.where("doc_id is not null")
+    lists = prefixes(named, level, words, share).join(reps, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
     lists = common.materialise(lists, "prefixes")
     index = lists.select("doc_id", "tag", "n", F.posexplode("one").alias("i", "token"))
     # A pivot is the document where the n-gram comes first, then the least id: one decimal, so that hash aggregation can keep it.
     shift, half = F.lit("1" + "0" * 20).cast("decimal(21,0)"), F.lit("9223372036854775808").cast("decimal(20,0)")
     place = (F.col("i").cast("decimal(12,0)") * shift + (F.col("doc_id").cast("decimal(20,0)") + half)).cast("decimal(38,0)")
-    pivots = index.withColumn("p", place).groupBy("token").agg(F.min("p").alias("p"), F.min_by("n", "p").alias("pivot_n"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pivots = pivots.select("token", "pivot_n", (F.col("p") % shift - half).cast("long").alias("pivot"), F.floor(F.col("p") / shift).cast("int").alias("j"))
-    pivots = common.materialise(pivots, "pivots")  # apart from the join, so that only one shuffle of the index is on disk at a time
-    shared = common.materialise(index.join(pivots, "token"), "shared")  # rows of n-grams that some other document has too
+
+    def pivots_of(index: DataFrame) -> DataFrame:
+        pivots = index.withColumn("p", place).groupBy("token").agg(F.min("p").alias("p"), F.min_by("n", "p").alias("pivot_n"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        return pivots.select("token", "pivot_n", (F.col("p") % shift - half).cast("long").alias("pivot"), F.floor(F.col("p") / shift).cast("int").alias("j"))
+
+    some = [index.where(_part("token", parts) == x) if parts > 1 else index for x in range(parts)]
+    pivots = common.materialise_parts(map(pivots_of, some), "pivots")  # apart from the join, so that only one shuffle of the index is on disk at a time
+    shared = common.materialise_parts((part.join(pivots, "token") for part in some), "shared")  # rows of n-grams that some other document has too
     common.discard(pivots)
-    ids = shared.select("doc_id", "tag").distinct()
-    texts = common.materialise(rows.join(ids, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]).drop("tag"), "texts")
-    return Index(words, share, sets, chosen, equal, lists, shared.drop("tag"), texts)
+    common.discard(lists)
+    ids = common.materialise(shared.select("doc_id", "tag").distinct(), "ids")
+    found = [[df.where(_part("doc_id", parts) == x) if parts > 1 else df for df in (named, ids)] for x in range(parts)]
+    texts = [common.materialise(other_prefixes(df.join(wanted, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]), level, words, share), "texts") for df, wanted in found]
+    common.discard(ids)
+    return Index(words, share, sets, chosen, equal, shared.drop("tag"), texts)
 
 
 def _open_pairs(index: Index, labelled: DataFrame) -> DataFrame:
-    """(a, b): candidates whose link would join two components; labelled is ``shared`` with each document's ``label``.
+    """(a, b): candidates whose link would join two components, written; labelled is ``shared`` with each document's ``label``.
 
     No link that matters is missed: a link between components shares an indexed n-gram, whose documents are all paired
     if they are FEW, and else all compared with their one pivot c. For these, sets a and b share
@@ -264,11 +316,13 @@ def _open_pairs(index: Index, labelled: DataFrame) -> DataFrame:
     close = left.join(right, "token").where((F.col("a_label") < F.col("b_label")) & index.enough("a_n", "a_i", "b_n", "b_i")).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
 
     many = rows.where((F.col("m") > FEW) & (F.col("doc_id") != F.col("pivot"))).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), "n", "pivot_n", "label").distinct()
-    many = many.join(differences(many, index.texts, index.words), ["a", "b"])
+    pivoted = common.materialise(many, "pivoted")
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit((1 + 1e-9) * float(np.log(max(den / num, 1.001)))))
     need = num * F.col("n") + whole * F.col("missing")
+    differing = (cell.join(differences(cell, left, right, index.words), ["a", "b"]) for cell, left, right in index.cells(pivoted))
     with common.small_batches(labelled.sparkSession):
-        many = common.materialise(many.select("a", "b", "label", "pivot_n", size.alias("size"), need.alias("need"), "differ"), "differences")
+        many = common.materialise_parts((df.select("a", "b", "label", "pivot_n", size.alias("size"), need.alias("need"), "differ") for df in differing), "differences")
+    common.discard(pivoted)
     least = many.groupBy("b", "size").agg(F.min(F.struct("need", "a", "label")).alias("least")).select("b", F.col("size").alias("near"), "least")
     around = many.select("a", "b", "label", "need", "pivot_n", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("near")).join(least, ["b", "near"])
     over = F.col("need") + F.col("least.need") - whole * F.col("pivot_n")
@@ -287,8 +341,8 @@ def _open_pairs(index: Index, labelled: DataFrame) -> DataFrame:
 
     names = [f"order{i}" for i in range(ORDERS)]
     facts = ["a", "label", "need", "pivot_n", "size", "alone"]
-    own = common.materialise(own.select("b", *facts, *[rarest(i).alias(n) for i, n in enumerate(names)]), "rarest")
-    own = own.select("b", *facts, *names[1:], F.posexplode("order0").alias("i", "gram"))
+    written = common.materialise(own.select("b", *facts, *[rarest(i).alias(n) for i, n in enumerate(names)]), "rarest")
+    own = written.select("b", *facts, *names[1:], F.posexplode("order0").alias("i", "gram"))
     left, right = (own.select("b", "gram", *[F.col(c).alias(f"{side}_{c}") for c in (*facts, *names[1:], "i")]) for side in "ab")
     both = F.greatest(F.lit(1), F.ceil((F.col("a_need") + F.col("b_need") - whole * F.col("a_pivot_n")) / whole))  # what this pair needs
     reach = [F.col(f"{x}_size") - F.col(f"{x}_alone") - F.col(f"{x}_i") >= both for x in "ab"]
@@ -297,7 +351,10 @@ def _open_pairs(index: Index, labelled: DataFrame) -> DataFrame:
     for n in names[1:]:
         far = far.where(F.arrays_overlap(top("a", n), top("b", n)))
     far = far.select(F.col("a_a").alias("a"), F.col("b_a").alias("b"))
-    return close.unionByName(sure).unionByName(far).distinct()
+    pairs = common.materialise(close.unionByName(sure).unionByName(far).distinct(), "pairs")
+    for done in (many, written):
+        common.discard(done)
+    return pairs
 
 
 def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,15 +370,17 @@ def ngram_join(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 10
     sets, shared = index.sets, index.shared
     star = shared.where((F.col("doc_id") != F.col("pivot")) & index.enough("n", "i", "pivot_n", "j")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     star = common.materialise(star, "star")
-    with common.small_batches(docs.sparkSession):
-        first = common.materialise(index.links_of(star), "links")
+    first = index.links_of(star)
     near = components(first)
     labelled = common.materialise(shared.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
     common.discard(shared)
-    pairs = _open_pairs(index, labelled).join(star.select(F.col("a").alias("x"), F.col("b").alias("y")), ((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))), "left_anti")
-    with common.small_batches(docs.sparkSession):
-        second = common.materialise(index.links_of(pairs), "links")
-    for done in (labelled, star, index.texts, index.lists):
+    open_ = _open_pairs(index, labelled)
+    common.discard(labelled)
+    pairs = common.materialise(open_.join(star, ["a", "b"], "left_anti"), "pairs")
+    for done in (open_, star):
+        common.discard(done)
+    second = index.links_of(pairs)
+    for done in (pairs, *index.texts):
         common.discard(done)
     final = components(first.unionByName(second))
 
@@ -353,8 +412,7 @@ def ngram_links(docs: DataFrame, words: int = 3, share: tuple[int, int] = (90, 1
     left = placed.select("token", F.col("own").alias("x"), F.col("every").alias("y"), F.col("doc_id").alias("a"), F.col("i").alias("a_i"), F.col("n").alias("a_n"))
     right = placed.select("token", F.col("every").alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("i").alias("b_i"), F.col("n").alias("b_n"))
     pairs = left.join(right, ["token", "x", "y"]).where((F.col("a") < F.col("b")) & index.enough("a_n", "a_i", "b_n", "b_i")).select("a", "b").distinct()
-    with common.small_batches(docs.sparkSession):
-        links = common.materialise(index.links_of(pairs), "links")
+    links = index.links_of(common.materialise(pairs, "pairs"))
     final = components(links)
 
     size = index.chosen.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))

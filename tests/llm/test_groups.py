@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from deskflow.llm import mixing, ngram_join, suffix_dedup
+from deskflow.llm import common, mixing, ngram_join, suffix_dedup
 
 
 def family(n, seed, size=200, edits=3, words=100_000):
@@ -74,6 +77,47 @@ def test_pairs_below_the_threshold(spark, monkeypatch):
     assert made[0] <= 5 * 500 and made[1] <= 5 * 2000  # all pairs would be 124,750 and 1,999,000
 
 
+def test_parts(spark, monkeypatch):
+    """Texts and n-grams dealt out to three parts give the same links."""
+    monkeypatch.setattr(ngram_join, "PART", 60, raising=False)
+    monkeypatch.setattr(ngram_join, "FEW", 20)
+    texts = family(90, 1, 60, 3, 6) + family(30, 2, 60, 3, 6) + family(20, 3, 200, 3, 40)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.ngram_join(rows).collect()) == wanted(texts)
+    assert sorted(tuple(r)[:3] for r in ngram_join.ngram_links(rows).collect()) == wanted(texts)
+
+
+def test_disk(spark, monkeypatch, tmp_path):
+    """Where every document shares n-grams, tables and the shuffles of any one write take less than 1.9 times the input."""
+    texts = [t for i in range(2000) for t in family(2, i, 300, 3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    places = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    (tmp_path / "tables").mkdir()
+    setting, most = common.setting, []
+
+    def sizes(folder, start=""):
+        return {f: f.stat().st_size for f in Path(folder).rglob(f"{start}*") if f.is_file()}
+
+    @contextmanager
+    def measured(session, key, value):
+        if "shuffle" not in key:
+            with setting(session, key, value):
+                yield
+            return
+        before = {f for x in places for f in sizes(x, "shuffle_")}
+        yield  # shuffles stay, to be counted
+        new = sum(n for x in places for f, n in sizes(x, "shuffle_").items() if f not in before)
+        most.append(new + sum(sizes(tmp_path / "tables").values()))
+
+    monkeypatch.setattr(common, "_LOCAL_SCRATCH", [f"file://{tmp_path}/tables"])
+    monkeypatch.setattr(common, "setting", measured)
+    monkeypatch.setattr(ngram_join, "PART", 1000, raising=False)
+    found = ngram_join.ngram_join(spark.read.parquet(str(tmp_path / "docs")), 5, (80, 100)).select("component_id").distinct().count()
+    share = max(most) / sum(sizes(tmp_path / "docs").values())
+    print("disk, as a share of the input:", share, "components:", found)
+    assert share < 1.9  # 2.08 when all steps shuffled everything at once
+
+
 def test_repeated_ids_with_other_texts(spark):
     rows = [(1, "a b c d e"), (1, "p q r s t"), (2, "a b c d e"), (3, "p q r s t"), (None, "a b c d e"), (4, None), (4, "x")]
     got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
