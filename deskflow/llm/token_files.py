@@ -62,34 +62,30 @@ class Coder:
             return []
         n = np.array([len(b) for b in blocks])
         steps = -(-n // LANES)
-        top = int(steps.max())
-        ids = np.zeros((top * LANES, len(blocks)), np.uint32).T
-        ids = np.ascontiguousarray(ids)
+        top, even = int(steps.max()), int(n.min()) // LANES  # below ``even`` every lane has an id
+        ids = np.zeros((len(blocks), top * LANES), np.uint32)
         for row, b in zip(ids, blocks, strict=True):
             row[: len(b)] = b
-        used = (np.arange(top * LANES) < n[:, None]).reshape(len(blocks), top, LANES)
-        ids = ids.reshape(len(blocks), top, LANES)
-        state = np.full((len(blocks), LANES), LOW, U)
-        words, owners, emitted, saved = [], [], np.zeros((top, len(blocks)), np.int64), {}
+        ids = ids.reshape(len(blocks), top, LANES).transpose(1, 0, 2).astype(np.intp, order="C")
+        state, lane = np.full((len(blocks), LANES), LOW, U), np.arange(LANES)
+        words, full, saved = np.empty(ids.shape, "<u4"), np.empty(ids.shape, bool), {}
         for t in range(top - 1, -1, -1):
-            f, c, on = self.freq[ids[:, t]], self.start[ids[:, t]], used[:, t]
-            f = np.where(on, f, U(1 << SCALE))  # a lane without an id here keeps its state
-            full = on & (state >= f << U(63 - SCALE))
-            words.append((state[full] & U(0xFFFFFFFF)).astype("<u4"))
-            owners.append(np.nonzero(full)[0])
-            emitted[t] = full.sum(1)
-            state = np.where(full, state >> U(32), state)
-            q = state // f
-            state = np.where(on, (q << U(SCALE)) + (state - q * f) + c, state)
+            f, on = self.freq.take(ids[t]), True
+            if t >= even:
+                on = t * LANES + lane < n[:, None]
+                f[~on] = 1 << SCALE  # a lane without an id here keeps its state
+            np.logical_and(on, state >= f << U(63 - SCALE), out=full[t])
+            words[t] = state  # the low half; of these, those that are ``full`` are written
+            state = np.where(full[t], state >> U(32), state)
+            after = state // f * (U(1 << SCALE) - f) + state + self.start.take(ids[t])
+            state = after if on is True else np.where(on, after, state)
             if t % EVERY == 0:
-                saved[t // EVERY] = state.copy()
-        owner = np.concatenate(owners[::-1]) if owners else np.zeros(0, np.int64)
-        stream = np.concatenate(words[::-1])[np.argsort(owner, kind="stable")] if words else np.zeros(0, "<u4")
-        ends = np.cumsum(emitted.sum(0))
+                saved[t // EVERY] = state
+        emitted = full.sum(2)
         before = np.cumsum(emitted, axis=0) - emitted
         out = []
         for i, b in enumerate(blocks):
-            own = stream[ends[i] - emitted[:, i].sum() : ends[i]]
+            own = words[:, i][full[:, i]]
             marks = -(-int(steps[i]) // EVERY)
             head = MAGIC + struct.pack("<IIIII", self.crc, len(b), zlib.crc32(b.astype("<u4").tobytes()), len(own), marks)
             points = b"".join(struct.pack("<I", int(before[k * EVERY, i])) + saved[k][i].astype("<u8").tobytes() for k in range(marks))
@@ -112,21 +108,25 @@ class Coder:
             base += words
         if not coded:
             return []
-        stream = np.concatenate([*streams, np.zeros(1, "<u4")]).astype(U)
+        stream = np.concatenate(streams)
         state, at, span = np.concatenate(states).astype(U), np.concatenate(at), np.concatenate(span)
         out = np.zeros((len(span), EVERY, LANES), np.uint32)
-        lane = np.arange(LANES)
-        for t in range(min(EVERY, -(-int(span.max()) // LANES)) if len(span) else 0):
-            on = t * LANES + lane < span[:, None]
+        lane, even = np.arange(LANES), int(span.min(initial=EVERY * LANES)) // LANES
+        for t in range(min(EVERY, -(-int(span.max(initial=0)) // LANES))):
             slot = state & U((1 << SCALE) - 1)
-            ids = self.slots[slot]
+            ids = self.slots.take(slot.view(np.int64))
             out[:, t] = ids
-            after = self.freq[ids] * (state >> U(SCALE)) + slot - self.start[ids]
-            low = on & (after < U(LOW))
-            place = at[:, None] + np.cumsum(low, 1) - 1
-            after = np.where(low, (after << U(32)) | stream[np.where(low, place, 0)], after)
-            state = np.where(on, after, state)
-            at = at + low.sum(1)
+            after = self.freq.take(ids) * (state >> U(SCALE)) + slot - self.start.take(ids)
+            low = after < U(LOW)
+            if t >= even:
+                on = t * LANES + lane < span[:, None]
+                low &= on
+                after = np.where(on, after, state)
+            here, read = np.flatnonzero(low), np.count_nonzero(low, axis=1)
+            place = np.repeat(at - (np.cumsum(read) - read), read) + np.arange(len(here))
+            flat = after.reshape(-1)
+            flat[here] = flat[here] << U(32) | stream[place]
+            state, at = after, at + read
         result, row = [], 0
         for n, ids_crc, marks in heads:
             ids = out[row : row + marks].reshape(-1)[:n]

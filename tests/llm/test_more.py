@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import itertools
 import os
+import time
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -148,6 +152,59 @@ def test_every_text_has_the_library_ids():
         assert coder.encode(texts[at : at + 1000]) == coder.library_ids(texts[at : at + 1000])
 
 
+def test_encoding_costs_less_than_the_published_pattern():
+    """Before, encoding cost as much as with the published pattern, whose alternatives are tried one by one."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("aeioubrstlénm"), n)) + "," * int(n % 7 == 0) for n in rng.integers(2, 11, 400)) for _ in range(150)]
+    texts += [t.replace(" lo", "\n\n lo") for t in texts]
+    coder = ByteEncoder.at(byte_bpe_path())
+    published = tiktoken.Encoding("published", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks._mergeable_ranks, special_tokens={})
+
+    def whole(texts):
+        return [array(coder.code, published.encode_ordinary(t)).tobytes() for t in texts]
+
+    def seconds(run):
+        began = time.process_time()
+        run(texts)
+        return time.process_time() - began
+
+    assert coder.encode(texts) == whole(texts)
+    own, plain = zip(*[(seconds(coder.encode), seconds(whole)) for _ in range(9)], strict=True)
+    assert min(own) < 0.85 * min(plain)
+
+
+def test_runs_of_white_space():
+    """All 25 characters of white space, alone and in runs, beside some that only look like it."""
+    rng = np.random.default_rng(6)
+    space = [*"\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+    parts = [*space, *"aé1²'!中\0\x1c\u180e\u200b\u0301", "'s", "'re", "x y", "<|none|>", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 12, 20_000)] + [f"a{s}b" for s in space] + [f"a{s}{t}b{s}{t}" for s in space for t in space]
+    coder = ByteEncoder.at(byte_bpe_path())
+    assert len(space) == 25 and coder.encode(texts) == coder.library_ids(texts)
+
+
+def test_blocks_are_those_of_a_scalar_coder():
+    rng = np.random.default_rng(7)
+    blocks = [rng.geometric(0.05, n).clip(0, 99) for n in (0, 1, 33, 4096, 5000, 8200)]
+    counts = np.bincount(np.concatenate(blocks), minlength=100)
+    freq = token_files.frequencies({i: int(n) for i, n in enumerate(counts) if n}, 100)
+    start = (np.cumsum(freq) - freq).tolist()
+    coder = token_files.Coder(freq)
+    for ids, coded in zip(blocks, coder.encode(blocks), strict=True):
+        state, words, points = [token_files.LOW] * 32, [], []
+        for i in range(len(ids) - 1, -1, -1):
+            f, x = int(freq[ids[i]]), state[i % 32]
+            if x >= f << 43:
+                words.append(x & 0xFFFFFFFF)
+                x >>= 32
+            state[i % 32] = (x // f << 20) + x % f + start[ids[i]]
+            if i % 4096 == 0:
+                points.append((len(words), list(state)))
+        marks = b"".join(np.array(len(words) - at, "<u4").tobytes() + np.array(x, "<u8").tobytes() for at, x in points[::-1])
+        head = b"RNS1" + np.array([coder.crc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(words), len(points)], "<u4").tobytes()
+        assert coded == head + marks + np.array(words[::-1], "<u4").tobytes()
+
+
 CLASH = "doc_id long, text string, lang string, source string, ident string, body string, n int, ids string, shard int, cell int, mask int, gram int, media string, codec string, seconds string, score string, size string, q int, u int, part int"
 
 
